@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import copies
+from pyspark.sql import functions as F
+
+from tapeloom.llm import copies, lookalikes
 from tapeloom.sources.tables import table
 
 
@@ -18,8 +20,17 @@ def p2_records(spark, folder):
     return copies.collapsed(_copy_records(spark, folder))
 
 
+def p3_found(spark, folder):
+    return lookalikes.found(table(spark, folder, "manifest", "row_id", "text", "gold_text"), "row_id", ["text", "gold_text"])
+
+
+def p3_canonical(spark, folder):
+    rows = lookalikes.with_canonical(table(spark, folder, "manifest", "row_id", "text", "gold_text"), {"text": "text_form", "gold_text": "gold_form"})
+    return rows.select("row_id", "text_form", "gold_form", (F.col("text_form") == F.col("gold_form")).alias("same"))
+
+
 def queries():
-    return {"p2_found": p2_found, "p2_records": p2_records}
+    return {"p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical}
 
 
 def oracle_sql():
