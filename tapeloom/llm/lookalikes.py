@@ -90,10 +90,10 @@ def unstable_class(java: bool = False) -> str:
 
 @lru_cache(1)
 def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    """(a word around unstable characters, a word of letters, digits and marks)."""
+    """(an unstable character and the rest of its word, a word of letters, digits and marks)."""
     marks = _ranges(set(properties()[2]))
     unstable = unstable_class()
-    return re.compile(rf"\w*[{unstable}][\w{unstable}]*"), re.compile(rf"(?:[^\W_]|[{marks}])+")
+    return re.compile(rf"[{unstable}][\w{unstable}]*"), re.compile(rf"(?:[^\W_]|[{marks}])+")
 
 
 def _foreign(letters: str) -> str:
@@ -140,8 +140,10 @@ def canonical(text: str) -> str:
     parts, end = [], 0
     for m in segment.finditer(text):
         start, stop = m.span()
-        if start and (text[start] in EMOJI_JOINERS or text[start] in properties()[2]):
-            start = max(end, start - 1)
+        while start > end and text[start - 1].isalnum():
+            start -= 1
+        if start == m.start() and start > end and (text[start] in EMOJI_JOINERS or text[start] in properties()[2]):
+            start -= 1
         parts += [text[end:start], text[start:stop]]
         end = stop
     if not parts:
