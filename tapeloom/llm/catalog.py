@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.llm import copies, lookalikes
+from tapeloom.llm import copies, languages, lookalikes
 from tapeloom.sources.tables import table
 
 
+def _stretches(spark, folder):
+    documents = table(spark, folder, "documents", "doc_id", "text", "lang")
+    return documents, languages.stretches(documents, "doc_id", "text", languages.fit_on(documents, "text", "lang", "doc_id"))
+
+
+def p1_found(spark, folder):
+    documents, marked = _stretches(spark, folder)
+    return languages.found(documents, marked, "doc_id", "lang")
+
+
+def p1_segments(spark, folder):
+    return _stretches(spark, folder)[1]
+
+
+def p1_documents(spark, folder):
+    return languages.by_document(_stretches(spark, folder)[1], "doc_id")
+
+
 def _copy_records(spark, folder):
     return copies.records(table(spark, folder, "manifest", "row_id", "text", "audio_ref"), table(spark, folder, "shard_lines", "line_id", "raw"))
 
@@ -30,7 +48,7 @@ def p3_canonical(spark, folder):
 
 
 def queries():
-    return {"p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical}
 
 
 def oracle_sql():
