@@ -55,3 +55,12 @@ def ranked_within(rows: DataFrame, keys: list[str], order: Column, tie: str, nam
     inner = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("_h", tie)) - 1
     placed = hashed.withColumn("_inner", inner).join(offsets, [*keys, "_slice"])
     return placed.withColumn(name, F.col("_offset") + F.col("_inner")).drop("_h", "_slice", "_offset", "_inner")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` over at least as many partitions as there are cores, for costly per-row work on few small files.
+
+    Input that already has that many splits is returned as it is, so large tables are never shuffled for this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(4 * cores, key)
