@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.llm import copies, languages, lookalikes
+from tapeloom.llm import copies, languages, leaks, lookalikes
 from tapeloom.sources.tables import table
 
 
@@ -47,8 +47,16 @@ def p3_canonical(spark, folder):
     return rows.select("row_id", "text_form", "gold_form", (F.col("text_form") == F.col("gold_form")).alias("same"))
 
 
+def p6_overlaps(spark, folder):
+    return leaks.overlaps(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+def p6_found(spark, folder):
+    return p6_overlaps(spark, folder).select("doc_id", "item_id").distinct()
+
+
 def queries():
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p6_overlaps": p6_overlaps}
 
 
 def oracle_sql():

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import vocabularies
+from tapeloom.operators.skew import spread
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "it")
 # Spellings of language labels by language, and labels that name none.
@@ -273,7 +274,7 @@ def stretches(documents: DataFrame, key: str, text: str, model: Unigrams) -> Dat
                 rows += [(k, i, *s) for i, s in enumerate(found)] or [(k, 0, None, None, None, 0.0, 0, False)]
             yield pd.DataFrame(rows, columns=[key, "seg_no", "start_char", "end_char", "lang_code", "confidence", "n_words", "long_enough"])
 
-    return documents.select(key, text).mapInPandas(mark, f"`{key}` {kind}, {STRETCHES}")
+    return spread(documents.select(key, text), key).mapInPandas(mark, f"`{key}` {kind}, {STRETCHES}")
 
 
 def by_document(marked: DataFrame, key: str) -> DataFrame:
