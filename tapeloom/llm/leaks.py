@@ -168,7 +168,7 @@ def align(item: np.ndarray, passage: np.ndarray, penalty: int) -> tuple[int, int
 def enough(n: int, matched: int, edits: int) -> bool:
     """Whether a passage with so many matches and edits repeats enough of an item of `n` tokens."""
     size = matched + edits
-    return size >= PART * n and matched >= PART * n * (1 - EDITS) and edits <= EDITS * size + 0.5
+    return size >= PART * n and matched >= PART * n * (1 - EDITS) and edits <= EDITS * size
 
 
 def overlaps(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
