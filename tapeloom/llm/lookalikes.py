@@ -81,11 +81,23 @@ def _ranges(chars: set[str], java: bool = False) -> str:
     return "".join(out)
 
 
-@lru_cache(2)
-def unstable_class(java: bool = False) -> str:
+@lru_cache(1)
+def unstable_class() -> str:
     """Body of a character class with every character that may change."""
     single, invisible, marks = properties()
-    return _ranges({*single, *invisible, *marks, *LOOKALIKE}, java)
+    return _ranges({*single, *invisible, *marks, *LOOKALIKE})
+
+
+#: Blocks that nearly all text is written in, most frequent first.
+COMMON_BLOCKS = ((0x20, 0x7E), (0x4E00, 0x9FFF), (0x3001, 0x303F), (0xFF01, 0xFF20), (0xA1, 0x17F), (0x2010, 0x203E), (0x09, 0x0D))
+
+
+@lru_cache(1)
+def stable_class() -> str:
+    """Body of a short character class, for the JVM, of the characters of the common blocks that never change."""
+    single, invisible, marks = properties()
+    moving = {*single, *invisible, *marks, *LOOKALIKE}
+    return "".join(_ranges({c for c in map(chr, range(low, high + 1)) if c not in moving}, java=True) for low, high in COMMON_BLOCKS)
 
 
 @lru_cache(1)
@@ -176,8 +188,8 @@ def _canonical_udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def unstable(value: Column) -> Column:
-    """The quick check: whether a character of `value` may change. Null for null."""
-    return value.rlike(f"[{unstable_class(java=True)}]")
+    """The quick check: whether `value` holds a character that isn't known to be stable. Null for null."""
+    return value.rlike(f"[^{stable_class()}]")
 
 
 def with_canonical(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
