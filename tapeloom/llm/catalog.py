@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.llm import copies, languages, leaks, lookalikes
+from tapeloom.llm import abuse, copies, languages, leaks, lookalikes
 from tapeloom.sources.tables import table
 
 
@@ -55,8 +55,21 @@ def p6_found(spark, folder):
     return p6_overlaps(spark, folder).select("doc_id", "item_id").distinct()
 
 
+def p7_scores(spark, folder):
+    documents = table(spark, folder, "documents", "doc_id", "source", "text")
+    return abuse.scored(documents, "doc_id", "text", abuse.fit_on(documents, table(spark, folder, "doc_labels")), keep=("source",))
+
+
+def p7_found(spark, folder):
+    return p7_scores(spark, folder).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p7_rates(spark, folder):
+    return abuse.rates(p7_scores(spark, folder), "source")
+
+
 def queries():
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p6_overlaps": p6_overlaps}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates}
 
 
 def oracle_sql():
