@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.llm import abuse, copies, languages, leaks, lookalikes
+from tapeloom.llm import abuse, copies, languages, leaks, lookalikes, mixing, packing
 from tapeloom.sources.tables import table
 
 
@@ -47,6 +47,26 @@ def p3_canonical(spark, folder):
     return rows.select("row_id", "text_form", "gold_form", (F.col("text_form") == F.col("gold_form")).alias("same"))
 
 
+def _mix_inputs(spark, folder):
+    return table(spark, folder, "manifest", "row_id", "source_path", "dataset_key"), table(spark, folder, "dataset_specs"), table(spark, folder, "mix_plans")
+
+
+def p4_selection(spark, folder):
+    return mixing.selection(*_mix_inputs(spark, folder))
+
+
+def p4_report(spark, folder):
+    return mixing.budgets(*_mix_inputs(spark, folder))
+
+
+def p5_pieces(spark, folder):
+    return packing.packed(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "pack_targets"))
+
+
+def p5_containers(spark, folder):
+    return packing.fills(p5_pieces(spark, folder), table(spark, folder, "pack_targets"))
+
+
 def p6_overlaps(spark, folder):
     return leaks.overlaps(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
@@ -69,7 +89,7 @@ def p7_rates(spark, folder):
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_selection": p4_selection, "p4_report": p4_report, "p5_pieces": p5_pieces, "p5_containers": p5_containers, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates}
 
 
 def oracle_sql():
