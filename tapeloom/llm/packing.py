@@ -3,8 +3,9 @@
 Texts are measured in tokens of a public tokenizer; one longer than a container fills whole containers with all but its
 rest. The histogram of the lengths (at most one number per length up to the capacity, whatever the number of texts) goes
 to the driver. There, patterns of a few lengths that fill a container are enumerated on a grid, their repeat counts are
-fitted to the histogram by non-negative least squares and rounded down, and what is left is packed best fit decreasing
-into the gaps and into new containers, in runs of equal containers. Texts find their container by their rank among the
+fitted to the histogram by non-negative least squares and rounded down, and what is left, or fits its pattern loosely as
+lengths differ inside a grid cell, is packed best fit decreasing into the gaps and into new containers, in runs of equal
+containers. Texts find their container by their rank among the
 texts of their length.
 """
 
@@ -25,7 +26,9 @@ from tapeloom.operators.skew import ranked_within, spread
 from tapeloom.session import cut_lineage
 
 #: Cells of the length grid, and the most texts in a pattern.
-GRID, MOST_TEXTS = 64, 4
+GRID, MOST_TEXTS = 32, 4
+#: A container of a pattern stays if its free space is at most this part of the capacity.
+TIGHT = 256
 
 
 def token_counts(documents: DataFrame, key: str, text: str, folder: str = vocabularies.FOLDER, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -142,7 +145,12 @@ def plan(histogram: dict[int, int], capacity: int, grid: int = GRID) -> list[tup
                     contents[length] += 1
                     if n > number:
                         s.append((length, n - number))
-                gaps.add(capacity - sum(k * v for k, v in contents.items()), tuple(sorted(contents.items())), number)
+                space = capacity - sum(k * v for k, v in contents.items())
+                if space <= capacity // TIGHT:
+                    gaps.add(space, tuple(sorted(contents.items())), number)
+                else:  # the grid hid a gap: these texts are packed with the rest
+                    for length, each in contents.items():
+                        left[length] += each * number
     for length in sorted(left, reverse=True):
         count = left[length]
         while count:
