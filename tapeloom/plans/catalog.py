@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from tapeloom.plans import records  # noqa: F401
+from tapeloom.plans.registry import QUERIES, SQL, Query
 
-from tapeloom.sources.tables import table
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def length_bin_hist(spark, folder):
-    edges = F.array(*map(F.lit, (4, 9, 13, 18, 22, 27, 31, 36)))
-    rows = table(spark, folder, "documents", "lang", "n_chars").select("lang", (F.col("n_chars").cast("double") / 64).alias("dur"))
-    kept = rows.filter((F.col("dur").isNull() | (F.col("dur") <= 40)) & F.col("lang").isin("zh", "en", "de", "fr")).withColumn("len", F.col("dur").cast("long"))
-    return kept.groupBy("lang", F.size(F.filter(edges, lambda e: e < F.col("len"))).cast("long").alias("length_bin")).agg(
-        F.count("*").alias("n"), F.sum("dur").alias("total_sec"), (F.max("len") * F.count("*")).alias("padded_cost")
-    )
 
-
-def queries():
-    return {"length_bin_hist": length_bin_hist}
-
-
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
