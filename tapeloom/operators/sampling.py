@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,11 @@ def order_key(seed: int, *parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))), 1, 16)
 
 
+def signed(digits: Column) -> Column:
+    """16 hex digits as a signed number with the same order."""
+    return (F.conv(digits, 16, 10).cast("decimal(20,0)") - F.lit(Decimal(2**63))).cast("long")
+
+
 def oversampled(rows: DataFrame, key: str, id_col: str, targets: DataFrame, seed: int) -> DataFrame:
     """(key, id, pass_no, position) so that each key gives its `target` rows: whole passes, then part of one.
 
@@ -33,8 +40,7 @@ def oversampled(rows: DataFrame, key: str, id_col: str, targets: DataFrame, seed
     joined = rows.join(F.broadcast(targets.filter("target > 0 and n > 0")), key)
     passes = F.expr("cast((target + n - 1) div n as int)")
     each = joined.withColumn("pass_no", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("_o", order_key(seed, F.col("pass_no"), F.col(key), F.col(id_col)))
-    number = F.conv("_o", 16, 10).cast("decimal(20,0)") - F.lit(2**63).cast("decimal(20,0)")
-    ranked = ranked_within(each.drop("_o"), [key, "pass_no"], number.cast("long"), id_col, "_rank")
+    ranked = ranked_within(each, [key, "pass_no"], signed(F.col("_o")), id_col, "_rank").drop("_o")
     position = F.col("pass_no") * F.col("n") + F.col("_rank")
     return ranked.withColumn("position", position.cast("long")).filter("position < target").select(key, id_col, "pass_no", "position")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import planning, records  # noqa: F401
+from tapeloom.plans import mixing, planning, records  # noqa: F401
 from tapeloom.plans.registry import QUERIES, SQL, Query
 
 

@@ -155,11 +155,11 @@ def language_split(spark, folder):
     return rows.withColumn("reject_reason", F.when(fields.language_name(F.col("code")).isNull(), "unsupported_language"))
 
 
-@query("SELECT vec_id, len(embedding) = 64 AS width_ok, count(*) OVER () = (SELECT count(*) FROM embeddings) AS rows_ok FROM embeddings")
+@query("SELECT label, count(*) AS n, count(*) = count(embedding) AS rows_ok, coalesce(bool_and(len(embedding) = 64), true) AS width_ok FROM embeddings GROUP BY label")
 def feature_shape_check(spark, folder):
-    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
-    total = rows.agg(F.count("*").alias("_n"))
-    return rows.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(total.withColumnRenamed("_n", "_m"))).select("vec_id", (F.size("embedding") == 64).alias("width_ok"), (F.col("_n") == F.col("_m")).alias("rows_ok"))
+    rows = table(spark, folder, "embeddings", "label", "embedding")
+    width = F.coalesce(F.bool_and(F.size("embedding") == 64), F.lit(True))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), (F.count("*") == F.count("embedding")).alias("rows_ok"), width.alias("width_ok"))
 
 
 @query(f"SELECT coalesce(avg(CAST(bad AS DOUBLE)), 0) AS failed_fraction, coalesce(avg(CAST(bad AS DOUBLE)), 0) <= 0.9 AS within_limit FROM (SELECT CASE WHEN {CODE_SQL} IN ('zh', 'en', 'de', 'fr') THEN 0 ELSE 1 END AS bad FROM manifest)")
