@@ -202,8 +202,8 @@ def packed(documents: DataFrame, key: str, text: str, packs: DataFrame, folder:
     spark = documents.sparkSession
     sizes = cut_lineage(token_counts(documents, key, text, folder))
     wanted = [(r["pack_name"], r["capacity"]) for r in packs.filter("capacity > 0").collect()]
-    names = spark.createDataFrame(wanted, "pack_name string, capacity long")
-    each = sizes.crossJoin(F.broadcast(names)) if wanted else sizes.join(names, F.lit(False))  # a row per pack, of which there are a few
+    targets = F.array(*(F.struct(F.lit(name).alias("pack_name"), F.lit(capacity).cast("long").alias("capacity")) for name, capacity in wanted)) if wanted else F.expr("cast(array() as array<struct<pack_name: string, capacity: bigint>>)")
+    each = sizes.select(key, "n_tokens", F.inline(targets))
     each = each.withColumn("_whole", F.expr("n_tokens div capacity")).withColumn("_rest", F.col("n_tokens") % F.col("capacity"))
     histograms: dict[str, dict[int, int]] = defaultdict(dict)
     for r in each.filter("_rest > 0").groupBy("pack_name", "_rest").count().collect():
