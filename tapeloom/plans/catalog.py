@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import batches, mixing, planning, records  # noqa: F401
+from tapeloom.plans import batches, mixing, parameters, planning, records, scans, streams, texts, visibility  # noqa: F401
 from tapeloom.plans.registry import QUERIES, SQL, Query
 
 
