@@ -60,36 +60,37 @@ class Unigrams:
 
     table: dict[str, np.ndarray]
     byte: list[np.ndarray]
-    longest: int
-    longest_han: int
-
-    def edges(self, unit: str, start: int, han: bool) -> Iterator[tuple[int, np.ndarray]]:
-        """(end, probabilities) of the pieces that begin at `start`; bytes for a character with no piece."""
-        found = False
-        for end in range(start + 1, min(len(unit), start + (self.longest_han if han else self.longest)) + 1):
-            if (p := self.table.get(unit[start:end])) is not None:
-                found = found or end == start + 1
-                yield end, p
-        if not found:
-            p = np.ones(len(LANGUAGES))
-            for b in unit[start].encode("utf-8", "replace"):
-                p = p * self.byte[b]
-            yield start + 1, p
+    starts: frozenset[str]  # all beginnings of pieces, to end a look-up early
+
+    def char(self, c: str) -> np.ndarray:
+        """Probabilities of a character with no piece of its own: the product over its bytes."""
+        p = np.ones(len(LANGUAGES))
+        for b in c.encode("utf-8", "replace"):
+            p = p * self.byte[b]
+        return p
 
     def score(self, unit: str, han: bool) -> np.ndarray:
-        """Log-probability of `unit` in each language, summed over all segmentations."""
+        """Log-probability of `unit` in each language, summed over all segmentations by the forward algorithm."""
         unit = unit if han else "▁" + unit
-        alpha, log = [np.zeros(len(LANGUAGES)) for _ in range(len(unit) + 1)], 0.0
-        alpha[0] += 1.0
-        reach = self.longest_han if han else self.longest
-        for i in range(len(unit)):
-            if alpha[i].max() < 1e-150:
-                for k in range(i, min(len(unit), i + reach) + 1):
-                    alpha[k] = alpha[k] * 1e150
-                log -= 150 * math.log(10)
-            for end, p in self.edges(unit, i, han):
-                alpha[end] = alpha[end] + alpha[i] * p
-        return np.log(np.maximum(alpha[-1], 1e-300)) + log
+        n, get, starts, log = len(unit), self.table.get, self.starts, 0.0
+        alpha: list = [None] * (n + 1)
+        alpha[0] = np.ones(len(LANGUAGES))
+        for i in range(n):
+            a = alpha[i]
+            if i & 7 == 7 and a.max() < 1e-100:  # against underflow in long runs
+                alpha[i:] = [x if x is None else x * 1e100 for x in alpha[i:]]
+                a, log = alpha[i], log - 100 * math.log(10)
+            if (p := get(unit[i])) is None:
+                p = self.char(unit[i])
+            end = i + 1
+            while p is not None or unit[i:end] in starts:
+                if p is not None:
+                    alpha[end] = a * p if alpha[end] is None else alpha[end] + a * p
+                end += 1
+                if end > n:
+                    break
+                p = get(unit[i:end])
+        return np.log(np.maximum(alpha[n], 1e-300)) + log
 
 
 def units_of(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -99,36 +100,47 @@ def units_of(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(), m.end(), m.lastgroup, m.group().lower()
 
 
-def _expected(model: Unigrams, unit: str, han: bool, at: int, times: float, into: dict) -> None:
-    """Adds the expected piece counts of `unit` in language number `at` to `into` (forward-backward)."""
-    unit = unit if han else "▁" + unit
-    n = len(unit)
-    arcs = [[(end, p[at]) for end, p in model.edges(unit, i, han)] for i in range(n)]
+def _expected(table: dict[str, float], byte: list[float], starts: frozenset[str], unit: str, times: float, into: dict) -> None:
+    """Adds the expected piece counts of `unit` in one language to `into` (forward-backward)."""
+    n, get = len(unit), table.get
+    arcs: list[list[tuple[int, float, str | None]]] = []
+    for i in range(n):
+        own, end, p = [], i + 1, get(unit[i])
+        if p is None:
+            own.append((end, math.prod(byte[b] for b in unit[i].encode("utf-8", "replace")), None))
+        while p is not None or unit[i:end] in starts:
+            if p is not None:
+                own.append((end, p, unit[i:end]))
+            end += 1
+            if end > n:
+                break
+            p = get(unit[i:end])
+        arcs.append(own)
     alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
     alpha[0] = beta[n] = 1.0
     for i in range(n):
-        for end, p in arcs[i]:
-            alpha[end] += alpha[i] * p
-    for i in reversed(range(n)):
-        beta[i] = sum(p * beta[end] for end, p in arcs[i])
-    if beta[0] <= 0:
+        if a := alpha[i]:
+            for end, p, _ in arcs[i]:
+                alpha[end] += a * p
+    if alpha[n] <= 0:
         return
+    for i in range(n - 1, -1, -1):
+        for end, p, _ in arcs[i]:
+            beta[i] += p * beta[end]
     for i in range(n):
-        for end, p in arcs[i]:
-            if (w := times * alpha[i] * p * beta[end] / beta[0]) > 1e-9:
-                piece = unit[i:end]
-                if end == i + 1 and piece not in model.table:
-                    for b in piece.encode("utf-8", "replace"):
-                        into[b] += w
+        if a := alpha[i] * times / alpha[n]:
+            for end, p, piece in arcs[i]:
+                if piece is not None:
+                    into[piece] += a * p * beta[end]
                 else:
-                    into[piece] += w
+                    for b in unit[i].encode("utf-8", "replace"):
+                        into[b] += a * p * beta[end]
 
 
 def _uniform(pieces: Iterable[str]) -> Unigrams:
     words = {p for p in pieces if p == p.lower() and not re.fullmatch(r"<.*>", p)}
     flat = np.full(len(LANGUAGES), 1.0 / (len(words) + 256))
-    han = [len(p) for p in words if re.search(f"[{HAN}]", p)]
-    return Unigrams(dict.fromkeys(words, flat), [flat] * 256, max(map(len, words), default=1), max(han, default=1))
+    return Unigrams(dict.fromkeys(words, flat), [flat] * 256, frozenset(p[:k] for p in words for k in range(1, len(p))))
 
 
 def _estimate(model: Unigrams, counts: list[Counter], strength: float = 1000.0) -> Unigrams:
@@ -136,9 +148,11 @@ def _estimate(model: Unigrams, counts: list[Counter], strength: float = 1000.0)
     found: list[dict] = []
     for at, units in enumerate(counts):
         into: dict = defaultdict(float)
+        table, byte = {p: float(v[at]) for p, v in model.table.items()}, [float(v[at]) for v in model.byte]
         for (unit, han), times in units.items():
-            for k in range(0, len(unit), 40):  # long runs in parts, against underflow
-                _expected(model, unit[k : k + 40], han, at, times, into)
+            whole = unit if han else "▁" + unit
+            for k in range(0, len(whole), 30):  # long runs in parts, against underflow
+                _expected(table, byte, model.starts, whole[k : k + 30], times, into)
         found.append(into)
     totals = np.array([sum(x.values()) for x in found])
     share = np.maximum(totals, 1.0)
@@ -151,7 +165,7 @@ def _estimate(model: Unigrams, counts: list[Counter], strength: float = 1000.0)
 
     seen = set().union(*found)
     rest = (strength * 0.5 * flat) / (totals + strength)
-    return Unigrams({p: smoothed(p) if p in seen else rest for p in model.table}, [smoothed(b) if b in seen else rest for b in range(256)], model.longest, model.longest_han)
+    return Unigrams({p: smoothed(p) if p in seen else rest for p in model.table}, [smoothed(b) if b in seen else rest for b in range(256)], model.starts)
 
 
 def fit(texts: Iterable[tuple[str, str]], pieces: Iterable[str], rounds: int = 2) -> Unigrams:
@@ -170,11 +184,10 @@ def fit(texts: Iterable[tuple[str, str]], pieces: Iterable[str], rounds: int = 2
         if again:
             scorer = Scorer(model)
             sentences = [(at, units) for at, units in sentences if int(np.argmax(sum(scorer.unit(*u) for u in units))) == at]
-            model = _uniform(pieces)
         counts = [Counter() for _ in LANGUAGES]
         for at, units in sentences:
             counts[at].update(units)
-        for _ in range(rounds):
+        for _ in range(1 if again else rounds):
             model = _estimate(model, counts)
     return model
 
