@@ -34,7 +34,7 @@ class _Stock:
     """Samples of a group by length bin and dataset, shortest first."""
 
     def __init__(self, samples: Sequence[Sample], seed: int):
-        self.seed = seed
+        self.seed, self.ties = seed, {}
         self.bins: dict[int, dict[str, deque[Sample]]] = defaultdict(dict)
         for s in sorted(samples):
             self.bins[s.bin].setdefault(s.dataset, deque()).append(s)
@@ -46,7 +46,9 @@ class _Stock:
         return [b for b in self.bins if self.size(b)]
 
     def _rank(self, bin_no: int, dataset: str) -> tuple[int, int]:
-        return -len(self.bins[bin_no][dataset]), stable_seed(self.seed, "dataset-order", bin_no, dataset)
+        if (tie := self.ties.get((bin_no, dataset))) is None:
+            tie = self.ties[bin_no, dataset] = stable_seed(self.seed, "dataset-order", bin_no, dataset)
+        return -len(self.bins[bin_no][dataset]), tie
 
     def from_bin(self, bin_no: int, batch: list[Sample]) -> Iterator[Sample]:
         """One sample per dataset and round, the fullest dataset first; datasets in the batch sit out the first round."""
