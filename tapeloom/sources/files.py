@@ -16,7 +16,7 @@ SUFFIXES = "wav flac mp3 m4a ogg opus"
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, stem) of the audio files under a folder; contents are not read."""
+    """(path, name, stem) of the audio files under a folder that are not empty; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     name = F.element_at(F.split("path", "/"), -1)
     return files.withColumn("name", name).withColumn("stem", F.regexp_replace("name", r"\.[^.]+$", "")).filter(F.lower("name").rlike(rf"\.({SUFFIXES.replace(' ', '|')})$"))
