@@ -130,7 +130,7 @@ def _latin_word(word: str, before: str, after: str) -> str:
     latin = any(c.isalpha() and c not in LOOKALIKE and _foreign(c) == "LATIN" for c in word)
     if not latin and (any(c.isalpha() and c not in LOOKALIKE for c in word) or any(_real_word(w, like[0]) for w in (before, after))):
         return word
-    return "".join(LOOKALIKE.get(c, c) for c in word)
+    return unicodedata.normalize("NFC", "".join(LOOKALIKE.get(c, c) for c in word))
 
 
 def _plain(piece: str) -> str:
@@ -139,7 +139,7 @@ def _plain(piece: str) -> str:
     out: list[str] = []
     for c in piece:
         if c in invisible:
-            if c in EMOJI_JOINERS and out and unicodedata.category(out[-1]) in ("So", "Sk", "Cf", "Mn"):
+            if c in EMOJI_JOINERS and out and (out[-1] in EMOJI_JOINERS or unicodedata.category(out[-1][-1]) in ("So", "Sk")):
                 out.append(c)
             continue
         out.append(single.get(c, c))
@@ -154,8 +154,8 @@ def canonical(text: str) -> str:
         start, stop = m.span()
         while start > end and text[start - 1].isalnum():
             start -= 1
-        if start == m.start() and start > end and (text[start] in EMOJI_JOINERS or text[start] in properties()[2]):
-            start -= 1
+        if start == m.start() and start > end:
+            start -= 1  # the character before is context for marks and joiners
         parts += [text[end:start], text[start:stop]]
         end = stop
     if not parts:
