@@ -24,7 +24,7 @@ DIGITS = "0123456789"
 
 def folded(value: Column) -> Column:
     """`value` without white space and punctuation, letter case removed (ß equals SS). Null stays null."""
-    return F.lower(F.upper(F.regexp_replace(value, IGNORED, "")))
+    return F.lower(F.regexp_replace(F.upper(value), IGNORED, ""))  # upper first, as it spells out ß
 
 
 def letter_count(value: Column, letter: str) -> Column:
