@@ -93,6 +93,67 @@ class Unigrams:
         return np.log(np.maximum(alpha[n], 1e-300)) + log
 
 
+class BatchScores:
+    """`Unigrams.score` for many units at once: the same sums, with the steps of all units in arrays."""
+
+    def __init__(self, model: Unigrams):
+        self.model = model
+        self.number = {piece: i for i, piece in enumerate(model.table)}
+        self.rows = np.array(list(model.table.values()))
+        self.chars: dict[str, int] = {}
+
+    def _char(self, c: str) -> int:
+        """Row of a character with no piece of its own."""
+        if (at := self.chars.get(c)) is None:
+            at = self.chars[c] = len(self.rows)
+            self.rows = np.vstack([self.rows, self.model.char(c)])
+        return at
+
+    def score(self, units: list[tuple[str, bool]]) -> np.ndarray:
+        out = np.zeros((len(units), len(LANGUAGES)))
+        order = sorted(range(len(units)), key=lambda i: len(units[i][0]))
+        for k in range(0, len(order), 2000):
+            part = order[k : k + 2000]
+            out[part] = self._score([units[i][0] if units[i][1] else "▁" + units[i][0] for i in part])
+        return out
+
+    def _score(self, units: list[str]) -> np.ndarray:
+        get, starts = self.number.get, self.model.starts
+        longest = max(map(len, units))
+        steps: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(longest)]
+        for u, unit in enumerate(units):
+            n = len(unit)
+            for i in range(n):
+                whose, ends, rows = steps[i]
+                c = unit[i]
+                if (p := get(c)) is None:
+                    p = self._char(c)
+                end, part = i + 1, c
+                while p is not None or part in starts:
+                    if p is not None:
+                        whose.append(u)
+                        ends.append(end)
+                        rows.append(p)
+                    end += 1
+                    if end > n:
+                        break
+                    part = unit[i:end]
+                    p = get(part)
+        alpha = np.zeros((len(units), longest + 1, len(LANGUAGES)))
+        alpha[:, 0] = 1.0
+        log = np.zeros(len(units))
+        for i, (whose, ends, rows) in enumerate(steps):
+            if i & 7 == 7:  # against underflow in long runs
+                low = np.flatnonzero((alpha[:, i].max(axis=1) < 1e-100) & (alpha[:, i].max(axis=1) > 0))
+                alpha[low, i:] *= 1e100
+                log[low] -= 100 * math.log(10)
+            if whose:
+                u = np.array(whose)
+                alpha[u, np.array(ends)] += alpha[u, i] * self.rows[rows]
+        last = alpha[np.arange(len(units)), [len(x) for x in units]]
+        return np.log(np.maximum(last, 1e-300)) + log[:, None]
+
+
 def units_of(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, lower-case unit) of a text's words, Chinese runs and numbers; speaker marks are left out."""
     for m in UNIT.finditer(text):
@@ -183,6 +244,7 @@ def fit(texts: Iterable[tuple[str, str]], pieces: Iterable[str], rounds: int = 2
     for again in (False, True):
         if again:
             scorer = Scorer(model)
+            scorer.learn(u for _, units in sentences for u in units)
             sentences = [(at, units) for at, units in sentences if int(np.argmax(sum(scorer.unit(*u) for u in units))) == at]
         counts = [Counter() for _ in LANGUAGES]
         for at, units in sentences:
@@ -196,16 +258,29 @@ class Scorer:
     """Scores of units relative to the best language, kept for reuse, and the stretches of whole texts."""
 
     def __init__(self, model: Unigrams, keep: int = 300_000):
-        self.model, self.keep, self.known = model, keep, {}
+        self.batch, self.keep = BatchScores(model), keep
+        self.known: dict[str, np.ndarray] = {}
+        self.passing: dict[str, np.ndarray] = {}  # long runs, kept for the texts at hand only
+
+    def learn(self, units: Iterable[tuple[str, bool]]) -> None:
+        """Scores the units that are not known yet, all at once."""
+        self.passing.clear()
+        if len(self.known) > self.keep:
+            self.known.clear()
+        new = [u for u in dict.fromkeys(units) if u[0] not in self.known]
+        if new:
+            scores = self.batch.score(new)
+            scores -= scores.max(axis=1, keepdims=True)
+            most = [MOST * (max(1.0, len(u) / 2) if han else 1.0) for u, han in new]
+            scores = np.maximum(scores, -np.array(most)[:, None])
+            for (unit, han), row in zip(new, scores):
+                (self.passing if han and len(unit) > 12 else self.known)[unit] = row
 
     def unit(self, unit: str, han: bool) -> np.ndarray:
-        if (s := self.known.get(unit)) is None:
-            s = self.model.score(unit, han)
-            s = np.maximum(s - s.max(), -MOST * (max(1.0, len(unit) / 2) if han else 1.0))
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            if not han or len(unit) <= 12:
-                self.known[unit] = s
+        """Scores of a unit relative to its best language, none below a floor."""
+        if (s := self.known.get(unit)) is None and (s := self.passing.get(unit)) is None:
+            self.learn([(unit, han)])
+            s = self.unit(unit, han)
         return s
 
     def path(self, scores: np.ndarray) -> np.ndarray:
@@ -231,11 +306,19 @@ class Scorer:
             states.append(state)
         return np.array(states[::-1])
 
+    def all_stretches(self, texts: list[str | None], together: int = 200) -> Iterator[list]:
+        """`stretches` of each text, the units of `together` texts being scored at once."""
+        for k in range(0, len(texts), together):
+            units = [list(units_of(t)) if t else [] for t in texts[k : k + together]]
+            self.learn((u, kind == "han") for own in units for _, _, kind, u in own if kind != "number")
+            yield from map(self._stretches, units)
+
     def stretches(self, text: str | None) -> list[tuple[int, int, str, float, int, bool]]:
         """(start, end, language, confidence, words or Chinese characters, long enough) of each stretch, in order."""
-        units = list(units_of(text)) if text else []
-        said = [i for i, u in enumerate(units) if u[2] != "number"]
-        if not said:
+        return next(self.all_stretches([text]))
+
+    def _stretches(self, units: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, float, int, bool]]:
+        if all(kind == "number" for _, _, kind, _ in units):
             return []
         zero = np.zeros(len(LANGUAGES))
         scores = np.array([self.unit(u, kind == "han") if kind != "number" else zero for _, _, kind, u in units])
@@ -282,8 +365,8 @@ def stretches(documents: DataFrame, key: str, text: str, model: Unigrams) -> Dat
         scorer = Scorer(shared.value)
         for frame in frames:
             rows = []
-            for k, t in zip(frame[key], frame[text]):
-                found = scorer.stretches(t if isinstance(t, str) else None)
+            texts = [t if isinstance(t, str) else None for t in frame[text]]
+            for k, found in zip(frame[key], scorer.all_stretches(texts)):
                 rows += [(k, i, *s) for i, s in enumerate(found)] or [(k, 0, None, None, None, 0.0, 0, False)]
             yield pd.DataFrame(rows, columns=[key, "seg_no", "start_char", "end_char", "lang_code", "confidence", "n_words", "long_enough"])
 

@@ -45,6 +45,11 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(long).all() and long[0] < -1000
 
 
+def test_batch_scores_equal_single_ones(model):
+    units = [("village", False), ("河边走了很久", True), ("ŋ☃x", False), ("q" * 80, False), ("中文龘" * 60, True), ("a", False)]
+    assert np.allclose(languages.BatchScores(model).score(units), [model.score(*u) for u in units])
+
+
 def test_stretches(model):
     scorer = languages.Scorer(model)
     for lang, text in TEXTS.items():
