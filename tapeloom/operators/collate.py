@@ -36,3 +36,23 @@ def kept(ids: Column, mask: Column) -> Column:
 def unique_ids(ids: Column) -> Column:
     """Distinct non-negative ids in the order of their first place."""
     return F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x >= 0)))
+
+
+def low_rank_projection(rows: DataFrame, key: str, features: str, weight, down, up, scale: float) -> DataFrame:
+    """(key, projected): W x + scale * (x A) B of each feature array, by matrix products over Arrow batches.
+
+    A null array, or one of another width, gives a null.
+    """
+    import numpy as np
+    import pandas as pd
+
+    whole = np.asarray(weight, dtype="float64").T + scale * (np.asarray(down, dtype="float64") @ np.asarray(up, dtype="float64"))
+    kind = dict(rows.dtypes)[key]
+
+    def project(frames):
+        for frame in frames:
+            fits = [x is not None and len(x) == whole.shape[0] for x in frame[features]]
+            out = iter(np.stack([np.asarray(x, dtype="float64") for x, f in zip(frame[features], fits) if f]) @ whole if any(fits) else [])
+            yield pd.DataFrame({key: frame[key], "projected": [next(out).tolist() if f else None for f in fits]})
+
+    return rows.select(key, features).mapInPandas(project, f"`{key}` {kind}, projected array<double>")

@@ -31,18 +31,19 @@ def signed(digits: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("decimal(20,0)") - F.lit(Decimal(2**63))).cast("long")
 
 
-def oversampled(rows: DataFrame, key: str, id_col: str, targets: DataFrame, seed: int) -> DataFrame:
-    """(key, id, pass_no, position) so that each key gives its `target` rows: whole passes, then part of one.
+def oversampled(rows: DataFrame, key: str, id_col: str, targets: DataFrame, seed: int, keep: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """(key, id, *keep, pass_no, position) so that each key gives its `target` rows: whole passes, then part of one.
 
     `targets` has (key, n, target) and is small (a row per dataset). A row comes out target div n or one more times. In
-    each pass the order is by hash; the partial pass keeps the first ones. Keys without a target give nothing.
+    each pass the order is by hash; the partial pass keeps the first ones. Keys without a target give nothing. `most` is
+    the largest n, if known.
     """
-    joined = rows.join(F.broadcast(targets.filter("target > 0 and n > 0")), key)
+    joined = rows.select(key, id_col, *keep).join(F.broadcast(targets.filter("target > 0 and n > 0")), key)
     passes = F.expr("cast((target + n - 1) div n as int)")
     each = joined.withColumn("pass_no", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("_o", order_key(seed, F.col("pass_no"), F.col(key), F.col(id_col)))
-    ranked = ranked_within(each, [key, "pass_no"], signed(F.col("_o")), id_col, "_rank").drop("_o")
+    ranked = ranked_within(each, [key, "pass_no"], signed(F.col("_o")), id_col, "_rank", most=most).drop("_o")
     position = F.col("pass_no") * F.col("n") + F.col("_rank")
-    return ranked.withColumn("position", position.cast("long")).filter("position < target").select(key, id_col, "pass_no", "position")
+    return ranked.withColumn("position", position.cast("long")).filter("position < target").select(key, id_col, *keep, "pass_no", "position")
 
 
 def last_good(rows: DataFrame, group: str, order: str, good: Column, k: int) -> DataFrame:

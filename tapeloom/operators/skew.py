@@ -36,14 +36,16 @@ def attach_group_values(rows: DataFrame, groups: DataFrame, key: str, rows_in_gr
     return joined.filter(found.isNotNull()).select(*rows.columns, *(found[c].alias(c) for c in values))
 
 
-def ranked_within(rows: DataFrame, keys: list[str], order: Column, tie: str, name: str = "rank", group_rows: int = RANK_ROWS) -> DataFrame:
+def ranked_within(rows: DataFrame, keys: list[str], order: Column, tie: str, name: str = "rank", group_rows: int = RANK_ROWS, most: int | None = None) -> DataFrame:
     """`rows` with a 0-based rank within `keys` by (`order`, `tie`), where `order` is a uniform 64-bit hash.
 
     A key's rows are cut by the leading bits of the hash into slices of about `group_rows`, the slices
     are counted, and a row's rank is its slice's offset plus its rank inside the slice; so no task sorts
-    a whole hot key. `tie` must be unique within a key. An empty table gives an empty result.
+    a whole hot key. `tie` must be unique within a key. An empty table gives an empty result. `most` is the largest
+    number of rows of a key where the caller knows it (an upper bound will do); else the keys are counted first.
     """
-    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most is None:
+        most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, most) / group_rows)))
     hashed = rows.withColumn("_h", order)
     if not bits:

@@ -168,3 +168,17 @@ def feature_stats(spark, folder):
 def channel_mean(spark, folder):
     rows = table(spark, folder, "embeddings", "label", "embedding").select("label", F.posexplode("embedding").alias("p", "x"))
     return rows.groupBy("label", (F.col("p") + 1).cast("long").alias("position")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("channel_mean"))
+
+
+_WEIGHT = [[(i * 7 + j * 3) % 5 - 2 for j in range(64)] for i in range(4)]
+_DOWN = [[(j * 5 + r) % 3 - 1 for r in range(2)] for j in range(64)]
+_UP = [[(r * 2 + i) % 4 - 1 for i in range(4)] for r in range(2)]
+
+
+@query(
+    """SELECT vec_id, CAST(i AS BIGINT) AS output, round(list_sum(list_transform(range(64), lambda j: CAST(embedding[j + 1] AS DOUBLE) *
+      ((i * 7 + j * 3) % 5 - 2 + 0.5 * (((j * 5) % 3 - 1) * (i % 4 - 1) + ((j * 5 + 1) % 3 - 1) * ((2 + i) % 4 - 1))))), 4) AS projected FROM embeddings, range(4) r(i)"""
+)
+def low_rank_projection(spark, folder):
+    out = collate.low_rank_projection(table(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", _WEIGHT, _DOWN, _UP, 0.5)
+    return out.select("vec_id", F.posexplode("projected").alias("p", "x")).select("vec_id", F.col("p").cast("long").alias("output"), F.round("x", 4).alias("projected"))

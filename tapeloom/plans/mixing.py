@@ -35,24 +35,31 @@ def keyed_rows(spark, folder):
     return keyed.withColumn("length", F.coalesce("seconds", F.lit(0.0)).cast("long"))
 
 
+def _targets(spark, folder, rows):
+    """(dataset_key, n, target) as local rows, one per dataset, so that no branch of a plan counts again."""
+    there = rows.groupBy("dataset_key").agg(F.count("*").alias("n"))
+    found = dataset_targets(spark, folder).select("dataset_key", "target").join(there, "dataset_key").select("dataset_key", "n", "target").collect()
+    return [tuple(r) for r in found]
+
+
 def _permuted(spark, folder):
     rows = keyed_rows(spark, folder)
-    there = rows.groupBy("dataset_key").agg(F.count("*").alias("n"))
-    targets = dataset_targets(spark, folder).select("dataset_key", "target").join(there, "dataset_key")
-    perm = sampling.oversampled(rows.select("dataset_key", "row_id"), "dataset_key", "row_id", targets, SEED)
-    return rows, perm.join(F.broadcast(targets.select("dataset_key", "target")), "dataset_key")
+    local = _targets(spark, folder, rows)
+    targets = spark.createDataFrame(local, "dataset_key string, n long, target long")
+    perm = sampling.oversampled(rows, "dataset_key", "row_id", targets, SEED, ("length", "seconds"), max((n for _, n, _ in local), default=0))
+    return perm.join(F.broadcast(targets.select("dataset_key", "target")), "dataset_key"), local
 
 
 def _ranked(spark, folder):
-    rows, perm = _permuted(spark, folder)
-    perm = perm.filter(f"target >= {WORLD}").withColumn("rank", F.expr(f"position div (target div {WORLD})")).filter(f"rank < {WORLD}")
-    return perm.join(rows.select("row_id", "length", "seconds"), "row_id")
+    perm, local = _permuted(spark, folder)
+    return perm.filter(f"target >= {WORLD}").withColumn("rank", F.expr(f"position div (target div {WORLD})")).filter(f"rank < {WORLD}"), local
 
 
 def _stream(spark, folder):
-    rows = _ranked(spark, folder).withColumn("_tie", F.concat("dataset_key", F.lit("#"), F.col("position").cast("string")))
+    ranked, local = _ranked(spark, folder)
+    rows = ranked.withColumn("_tie", F.concat("dataset_key", F.lit("#"), F.col("position").cast("string")))
     order = sampling.signed(sampling.order_key(SEED, F.col("rank"), F.col("dataset_key"), F.col("position")))
-    placed = ranked_within(rows, ["rank"], order, "_tie", "place").drop("_tie")
+    placed = ranked_within(rows, ["rank"], order, "_tie", "place", most=sum(t // WORLD for _, _, t in local)).drop("_tie")
     return placed.withColumn("group_no", F.expr(f"cast(place as bigint) div {BATCH * BUCKETS}")).withColumn("length_bin", fields.length_bin(F.col("length"), EDGES))
 
 
@@ -64,12 +71,12 @@ def stable_seed(spark, folder):
 
 @query(f"{PERM_SQL} SELECT dataset_key, row_id, CAST(pass_no AS BIGINT) AS pass_no, CAST(position AS BIGINT) AS position FROM p")
 def oversample_hash(spark, folder):
-    return _permuted(spark, folder)[1].select("dataset_key", "row_id", F.col("pass_no").cast("long").alias("pass_no"), "position")
+    return _permuted(spark, folder)[0].select("dataset_key", "row_id", F.col("pass_no").cast("long").alias("pass_no"), "position")
 
 
 @query(f"{PERM_SQL} SELECT CAST(rank AS BIGINT) AS rank, dataset_key, count(*) AS n, CAST(min(position) AS BIGINT) AS first_position FROM p WHERE rank < {WORLD} AND target >= {WORLD} GROUP BY ALL")
 def rank_assign(spark, folder):
-    return _ranked(spark, folder).groupBy("rank", "dataset_key").agg(F.count("*").alias("n"), F.min("position").alias("first_position"))
+    return _ranked(spark, folder)[0].groupBy("rank", "dataset_key").agg(F.count("*").alias("n"), F.min("position").alias("first_position"))
 
 
 @query(f"{STREAM_SQL} SELECT CAST(rank AS BIGINT) AS rank, dataset_key, CAST(position AS BIGINT) AS position, CAST(place AS BIGINT) AS place FROM g")

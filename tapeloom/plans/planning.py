@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.operators import budget
+from tapeloom.operators import budget, sampling
 from tapeloom.plans.registry import query
 from tapeloom.sources.tables import table
 
@@ -163,6 +163,13 @@ def shard_list(spark, folder):
     return index.select(F.explode("train_shards").alias("s")).select("s.path", "s.count").filter("count > 0 and path is not null")
 
 
+@query("SELECT path, row_number() OVER (ORDER BY substr(sha1('42|' || '3|' || path), 1, 16), path) AS place FROM train_shards")
+def shard_shuffle(spark, folder):
+    """Shards in a seeded order that changes with the epoch; a row per file."""
+    key = sampling.order_key(42, F.lit(3), F.col("path"))
+    return table(spark, folder, "train_shards", "path").withColumn("place", F.row_number().over(Window.orderBy(key, "path")).cast("long"))
+
+
 @query(
     f"""WITH q AS ({TARGETS_SQL}), s AS (SELECT count(*) AS files FROM train_shards)
       SELECT 'mix' AS index_format, CAST(sum(target // {WORLD}) // {BATCH * ACCUMULATION} AS BIGINT) AS steps FROM q

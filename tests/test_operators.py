@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import fields, text
 from tapeloom.operators import collate, masks, metrics, sampling, skew
-from tapeloom.sources import files, jsonl
+from tapeloom.sources import config, files, jsonl
 
 
 def column(spark, expression, values, kind="string"):
@@ -153,3 +153,20 @@ def test_wav_files(spark, tmp_path):
     names = files.listing(spark, str(tmp_path))
     assert sorted(r["name"] for r in names.collect()) == ["a.WAV", "a.wav", "b.wav"]
     assert {r["stem"] for r in files.first_by(names, "stem").collect()} == {"a", "b"}
+
+
+def test_config(tmp_path):
+    settings = {"a": {"b": None, "c": 0}}
+    assert config.deep_get(settings, "a.b", 5) is None and config.deep_get(settings, "a.x", 5) == 5 and config.deep_get(settings, "a.c.d", 7) == 7
+    path = str(tmp_path / "new" / "x.json")
+    config.save_json(path, {"k": "é"})
+    assert config.load_index(path) == {"k": "é"} and "é" in (tmp_path / "new" / "x.json").read_text()
+    config.save_json(path, [1])
+    with pytest.raises(ValueError):
+        config.load_index(path)
+
+
+def test_projection(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0])], "k int, x array<float>")
+    got = {r["k"]: r["projected"] for r in collate.low_rank_projection(rows, "k", "x", [[1, 0]], [[1], [1]], [[2]], 0.5).collect()}
+    assert got == {1: [1.0 + 0.5 * 3 * 2], 2: None, 3: None}
