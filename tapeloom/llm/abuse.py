@@ -32,7 +32,7 @@ GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 2), (0, 3))
 MOST_MARKED, MOST_UNMARKED = 2000, 4000
 #: A sentence with more tokens is scored in windows of this many tokens, half overlapping.
 WINDOW = 18
-THRESHOLD = 0.25
+THRESHOLD = 0.4
 # Letters that digits and signs stand for.
 LEET = str.maketrans("013457@$", "oieastas")
 END = re.compile(r"[.!?;。！？；\n\r]+(?=\s|[^\w\s]|[" + HAN + r"]|$)|\n+")
