@@ -92,5 +92,15 @@ def queries():
     return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_selection": p4_selection, "p4_report": p4_report, "p5_pieces": p5_pieces, "p5_containers": p5_containers, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates}
 
 
+_FOLDED = r"lower(regexp_replace(replace({0}, 'ß', 'ss'), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}\p{{P}}]+', '', 'g'))"
+_GROUPS = f"""WITH r AS (SELECT 'manifest' AS table_name, row_id AS id, text, audio_ref FROM manifest
+    UNION ALL SELECT 'shard_lines', line_id, CASE WHEN good THEN raw ->> '$.text' END, CASE WHEN good THEN raw ->> '$.audio_ref' END FROM (SELECT *, regexp_matches(raw, '^\\s*\\{{') AND json_valid(raw) AS good FROM shard_lines)),
+  f AS (SELECT table_name, id, {_FOLDED.format("text")} AS t, {_FOLDED.format("audio_ref")} AS a FROM r),
+  g AS (SELECT table_name, id, min(id) OVER same AS first_id, count(*) OVER same AS n_copies FROM f WHERE t <> '' AND a <> '' WINDOW same AS (PARTITION BY table_name, t, a))"""
+
+
 def oracle_sql():
-    return {}
+    return {
+        "p2_found": f"{_GROUPS} SELECT table_name, first_id, id AS copy_id FROM g WHERE id <> first_id",
+        "p2_records": f"{_GROUPS} SELECT r.table_name, r.id, CAST(coalesce(g.n_copies, 1) AS BIGINT) AS n_copies FROM r LEFT JOIN g USING (table_name, id) WHERE g.first_id IS NULL OR g.first_id = r.id",
+    }
