@@ -259,29 +259,40 @@ class Scorer:
 
     def __init__(self, model: Unigrams, keep: int = 300_000):
         self.batch, self.keep = BatchScores(model), keep
-        self.known: dict[str, np.ndarray] = {}
-        self.passing: dict[str, np.ndarray] = {}  # long runs, kept for the texts at hand only
+        # A row per unit: its scores, the words and the Chinese characters it counts for. Row 0 is that of any number.
+        self.table = np.zeros((1 << 12, len(LANGUAGES) + 2))
+        self.table[0, -2] = 1
+        self.known: dict[str, int] = {}
+        self.passing: dict[str, int] = {}  # long runs, whose rows are kept for the texts at hand only
 
     def learn(self, units: Iterable[tuple[str, bool]]) -> None:
-        """Scores the units that are not known yet, all at once."""
+        """Scores the units that are not known yet, all at once, relative to their best language and down to a floor."""
         self.passing.clear()
         if len(self.known) > self.keep:
             self.known.clear()
         new = [u for u in dict.fromkeys(units) if u[0] not in self.known]
-        if new:
-            scores = self.batch.score(new)
-            scores -= scores.max(axis=1, keepdims=True)
-            most = [MOST * (max(1.0, len(u) / 2) if han else 1.0) for u, han in new]
-            scores = np.maximum(scores, -np.array(most)[:, None])
-            for (unit, han), row in zip(new, scores):
-                (self.passing if han and len(unit) > 12 else self.known)[unit] = row
+        if not new:
+            return
+        new.sort(key=lambda u: u[1] and len(u[0]) > 12)  # the long runs last
+        scores = self.batch.score(new)
+        scores -= scores.max(axis=1, keepdims=True)
+        most = [MOST * (max(1.0, len(u) / 2) if han else 1.0) for u, han in new]
+        first = len(self.known) + 1
+        if first + len(new) > len(self.table):
+            self.table = np.vstack([self.table, np.zeros((first + len(new), self.table.shape[1]))])
+        rows = self.table[first : first + len(new)]
+        rows[:, :-2] = np.maximum(scores, -np.array(most)[:, None])
+        rows[:, -2] = [not han and u[-1] not in "'’" for u, han in new]
+        rows[:, -1] = [len(u) if han else 0 for u, han in new]
+        for at, (unit, han) in enumerate(new, first):
+            (self.passing if han and len(unit) > 12 else self.known)[unit] = at
 
     def unit(self, unit: str, han: bool) -> np.ndarray:
-        """Scores of a unit relative to its best language, none below a floor."""
-        if (s := self.known.get(unit)) is None and (s := self.passing.get(unit)) is None:
+        """Scores of a unit."""
+        if (at := self.known.get(unit)) is None and (at := self.passing.get(unit)) is None:
             self.learn([(unit, han)])
-            s = self.unit(unit, han)
-        return s
+            return self.unit(unit, han)
+        return self.table[at, :-2]
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The language of each unit on the best path."""
@@ -309,31 +320,29 @@ class Scorer:
     def all_stretches(self, texts: list[str | None], together: int = 200) -> Iterator[list]:
         """`stretches` of each text, the units of `together` texts being scored at once."""
         for k in range(0, len(texts), together):
-            units = [list(units_of(t)) if t else [] for t in texts[k : k + together]]
-            self.learn((u, kind == "han") for own in units for _, _, kind, u in own if kind != "number")
-            yield from map(self._stretches, units)
+            found = [[m for m in UNIT.finditer(t) if m.lastgroup != "mark"] if t else [] for t in texts[k : k + together]]
+            units = [[(m.group().lower(), m.lastgroup == "han") for m in own if m.lastgroup != "number"] for own in found]
+            self.learn(u for own in units for u in own)
+            for own, said in zip(found, units):
+                rows = iter([self.known.get(u) or self.passing[u] for u, _ in said])
+                yield self._stretches(own, np.array([0 if m.lastgroup == "number" else next(rows) for m in own])) if said else []
 
     def stretches(self, text: str | None) -> list[tuple[int, int, str, float, int, bool]]:
         """(start, end, language, confidence, words or Chinese characters, long enough) of each stretch, in order."""
         return next(self.all_stretches([text]))
 
-    def _stretches(self, units: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, float, int, bool]]:
-        if all(kind == "number" for _, _, kind, _ in units):
-            return []
-        zero = np.zeros(len(LANGUAGES))
-        scores = np.array([self.unit(u, kind == "han") if kind != "number" else zero for _, _, kind, u in units])
-        states = self.path(scores)
+    def _stretches(self, units: list[re.Match], rows: np.ndarray) -> list[tuple[int, int, str, float, int, bool]]:
+        values = self.table[rows]
+        states = self.path(values[:, :-2])
         cuts = [0, *(np.flatnonzero(np.diff(states)) + 1).tolist(), len(units)]
         out = []
         for a, b in zip(cuts, cuts[1:]):
             at = int(states[a])
-            if LANGUAGES[at] == "zh":
-                size, enough = sum(len(u[3]) for u in units[a:b] if u[2] == "han"), CHARS
-            else:
-                size, enough = sum(u[2] == "number" or u[2] == "word" and u[3][-1] not in "'’" for u in units[a:b]), WORDS
-            s = scores[a:b].sum(axis=0) / math.sqrt(b - a)
+            total = values[a:b].sum(axis=0)
+            size, least = (int(total[-1]), CHARS) if LANGUAGES[at] == "zh" else (int(total[-2]), WORDS)
+            s = total[:-2] / math.sqrt(b - a)
             share = np.exp(s - s.max())
-            out.append((units[a][0], units[b - 1][1], LANGUAGES[at], float(share[at] / share.sum()), size, size >= enough))
+            out.append((units[a].start(), units[b - 1].end(), LANGUAGES[at], float(share[at] / share.sum()), size, size >= least))
         return out
 
 
