@@ -36,14 +36,16 @@ class _Stock:
     def __init__(self, samples: Sequence[Sample], seed: int):
         self.seed, self.ties = seed, {}
         self.bins: dict[int, dict[str, deque[Sample]]] = defaultdict(dict)
+        self.sizes: dict[int, int] = defaultdict(int)
         for s in sorted(samples):
             self.bins[s.bin].setdefault(s.dataset, deque()).append(s)
+            self.sizes[s.bin] += 1
 
     def size(self, bin_no: int) -> int:
-        return sum(map(len, self.bins[bin_no].values()))
+        return self.sizes[bin_no]
 
     def filled(self) -> list[int]:
-        return [b for b in self.bins if self.size(b)]
+        return [b for b, n in self.sizes.items() if n]
 
     def _rank(self, bin_no: int, dataset: str) -> tuple[int, int]:
         if (tie := self.ties.get((bin_no, dataset))) is None:
@@ -59,6 +61,7 @@ class _Stock:
             if not turn and not resting:
                 return
             for dataset in turn:
+                self.sizes[bin_no] -= 1
                 yield queues[dataset].popleft()
             resting = set()
 

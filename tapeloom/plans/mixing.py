@@ -111,7 +111,9 @@ def chunked_batches_simple(spark, folder):
 
 
 def composed_batches(spark, folder):
-    full = _stream(spark, folder).withColumn("_n", F.count("*").over(Window.partitionBy("rank", "group_no"))).filter(f"_n % {BATCH} = 0").withColumn("worker", F.lit(0).cast("long"))
+    # one exchange serves the window and the grouped map; a stated number keeps costly groups on all cores
+    spread = _stream(spark, folder).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "group_no")
+    full = spread.withColumn("_n", F.count("*").over(Window.partitionBy("rank", "group_no"))).filter(f"_n % {BATCH} = 0").withColumn("worker", F.lit(0).cast("long"))
     return batching.composed(full, ["rank", "worker", "group_no"], BATCH, ACCUMULATION, len(EDGES) + 1, SEED)
 
 
