@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions import fields
-from tapeloom.operators import batching, sampling
+from tapeloom.operators import batching, budget, sampling
 from tapeloom.operators.skew import ranked_within
 from tapeloom.plans.planning import TARGETS_SQL, dataset_targets
 from tapeloom.plans.records import SECONDS_SQL, seconds
@@ -42,21 +42,30 @@ def _targets(spark, folder, rows):
     return [tuple(r) for r in found]
 
 
-def _permuted(spark, folder):
+def _whole_steps(local):
+    """The targets trimmed so that every rank makes whole steps; at most BATCH * ACCUMULATION - 1 rows a rank go."""
+    local = sorted(local)
+    _, per_rank, _ = budget.mix_budget([t for _, _, t in local], BATCH, WORLD, ACCUMULATION)
+    return [(k, n, each * WORLD) for (k, n, _), each in zip(local, per_rank)]
+
+
+def _permuted(spark, folder, whole_steps=False):
     rows = keyed_rows(spark, folder)
     local = _targets(spark, folder, rows)
+    if whole_steps:
+        local = _whole_steps(local)
     targets = spark.createDataFrame(local, "dataset_key string, n long, target long")
     perm = sampling.oversampled(rows, "dataset_key", "row_id", targets, SEED, ("length", "seconds"), max((n for _, n, _ in local), default=0))
     return perm.join(F.broadcast(targets.select("dataset_key", "target")), "dataset_key"), local
 
 
-def _ranked(spark, folder):
-    perm, local = _permuted(spark, folder)
+def _ranked(spark, folder, whole_steps=False):
+    perm, local = _permuted(spark, folder, whole_steps)
     return perm.filter(f"target >= {WORLD}").withColumn("rank", F.expr(f"position div (target div {WORLD})")).filter(f"rank < {WORLD}"), local
 
 
-def _stream(spark, folder):
-    ranked, local = _ranked(spark, folder)
+def _stream(spark, folder, whole_steps=False):
+    ranked, local = _ranked(spark, folder, whole_steps)
     rows = ranked.withColumn("_tie", F.concat("dataset_key", F.lit("#"), F.col("position").cast("string")))
     order = sampling.signed(sampling.order_key(SEED, F.col("rank"), F.col("dataset_key"), F.col("position")))
     placed = ranked_within(rows, ["rank"], order, "_tie", "place", most=sum(t // WORLD for _, _, t in local)).drop("_tie")
@@ -111,10 +120,9 @@ def chunked_batches_simple(spark, folder):
 
 
 def composed_batches(spark, folder):
-    # one exchange serves the window and the grouped map; a stated number keeps costly groups on all cores
-    spread = _stream(spark, folder).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "group_no")
-    full = spread.withColumn("_n", F.count("*").over(Window.partitionBy("rank", "group_no"))).filter(f"_n % {BATCH} = 0").withColumn("worker", F.lit(0).cast("long"))
-    return batching.composed(full, ["rank", "worker", "group_no"], BATCH, ACCUMULATION, len(EDGES) + 1, SEED)
+    # a stated number keeps costly groups on all cores; ranks of whole steps give groups of whole batches
+    spread = _stream(spark, folder, whole_steps=True).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "group_no").withColumn("worker", F.lit(0).cast("long"))
+    return batching.composed(spread, ["rank", "worker", "group_no"], BATCH, ACCUMULATION, len(EDGES) + 1, SEED)
 
 
 @query()
