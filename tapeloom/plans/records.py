@@ -134,6 +134,23 @@ def class_filter(spark, folder):
     return rows.filter(F.col("class").isin(*chosen)).join(F.broadcast(specs), rows.source_path == specs.train_path, "left_semi").select("row_id", "class")
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT class_selector, trim(unnest(string_split(replace(class_selector, '_', ','), ','))) AS piece FROM dataset_specs WHERE trim(class_selector) <> ''),
+      c AS (SELECT DISTINCT class_selector, unnest(range(CAST(string_split(piece, '-')[1] AS BIGINT), CAST(string_split(piece, '-')[-1] AS BIGINT) + 1)) AS class FROM p WHERE piece <> '')
+      SELECT m.row_id, CAST(m.row_id % 9 + 1 AS BIGINT) AS class FROM manifest m JOIN dataset_specs s ON m.source_path = s.train_path
+      WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.class_selector = s.class_selector) OR EXISTS (SELECT 1 FROM c WHERE c.class_selector = s.class_selector AND c.class = m.row_id % 9 + 1)"""
+)
+def class_filter_by_file(spark, folder):
+    """Rows of the classes that their own file selects; a file without a selector keeps all."""
+    specs = table(spark, folder, "dataset_specs", F.col("train_path").alias("source_path"), "class_selector")
+    # selectors are a small vocabulary; each distinct one is parsed once
+    parsed = [(r[0], list(selectors.parse_selector(r[0])) or None) for r in specs.select("class_selector").distinct().collect()]
+    chosen = F.broadcast(spark.createDataFrame(parsed, "class_selector string, classes array<long>"))
+    files = specs.join(chosen, specs.class_selector.eqNullSafe(chosen.class_selector)).select("source_path", "classes")
+    rows = table(spark, folder, "manifest", "row_id", "source_path").withColumn("class", F.col("row_id") % 9 + 1)
+    return rows.join(files, "source_path").filter("classes is null or array_contains(classes, class)").select("row_id", "class")
+
+
 @query("SELECT train_path, dataset_key, weight FROM dataset_specs WHERE weight > 0 AND NOT isnan(weight) AND count > 0")
 def weight_filter(spark, folder):
     return table(spark, folder, "dataset_specs").filter("weight > 0 and not isnan(weight) and count > 0").select("train_path", "dataset_key", "weight")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
+from tapeloom.functions.selectors import parse_selector
 from tapeloom.operators import budget
-from tapeloom.plans import mixing
+from tapeloom.plans import catalog, mixing
 
 
 def test_composer_keeps_every_planned_row(spark, data):
@@ -16,3 +17,13 @@ def test_composer_keeps_every_planned_row(spark, data):
     assert Counter((r["rank"], r["dataset_key"]) for r in rows) == planned
     assert len(rows) == total * mixing.WORLD and 0 <= sum(t // mixing.WORLD for _, _, t in local) - total < mixing.BATCH * mixing.ACCUMULATION
     assert set(Counter((r["rank"], r["group_no"], r["step_no"], r["micro_batch"]) for r in rows).values()) == {mixing.BATCH}
+
+
+def test_class_filter_uses_every_files_own_selector(spark, tmp_path):
+    files = {"a": "1_3", "b": "1,3", "c": "2-4", "d": " ", "e": None, "f": "5, 7-8_1"}
+    spark.createDataFrame(list(files.items()), "train_path string, class_selector string").write.parquet(str(tmp_path / "dataset_specs.parquet"))
+    rows = [(i, "abcdefg"[i // 9]) for i in range(63)]
+    spark.createDataFrame(rows, "row_id long, source_path string").write.parquet(str(tmp_path / "manifest.parquet"))
+    expected = {(i, i % 9 + 1) for i, f in rows if f in files and (not parse_selector(files[f]) or i % 9 + 1 in parse_selector(files[f]))}
+    got = [tuple(r) for r in catalog.queries()["class_filter_by_file"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(expected) and set(got) == expected
