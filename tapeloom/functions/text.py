@@ -17,7 +17,7 @@ from tapeloom.functions.fields import strip
 CJK = "㐀-䶿一-鿿豈-﫿"
 CJK_MARKS = "，。！？；：、（）《》「」『』“”‘’—…·"
 #: Leading control marks of a recogniser's output: tags, '<|..|>' and 'language <Name>[_suffix]'.
-CONTROL_PREFIX = r"(?U)^(?:\s*(?:<asr_text>|(?i:language\s+(?:chinese|english|german|french)(?:_[a-z_]*)?(?![a-z_]))|<\|[^>]+\|>))*\s*"
+CONTROL_PREFIX = r"(?U)^(?:[\s\x1C-\x1F]*(?:<asr_text>|(?i:language[\s\x1C-\x1F]+(?:chinese|english|german|french)(?:_[a-z_]*)?(?![a-z_]))|<\|[^>]+\|>))*[\s\x1C-\x1F]*"
 # Status codes and message parts of errors worth another attempt.
 RETRY_STATUS = (429, 500, 502, 503, 504)
 RETRY_PARTS = "timeout timed out|connection reset|connection aborted|temporarily unavailable|too many requests|slow down"

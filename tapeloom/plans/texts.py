@@ -27,6 +27,12 @@ def control_prefix_strip(spark, folder):
     return rows.select("row_id", text.without_control_prefix(_raw()).alias("said"))
 
 
+@query()
+def control_prefix_strip_all(spark, folder):
+    """All rows, also texts that begin with a control mark of their own; a null text stays null."""
+    return table(spark, folder, "manifest", "row_id", "text").select("row_id", text.without_control_prefix(_raw()).alias("said"))
+
+
 @query(f"SELECT row_id, trim(regexp_replace(text, '{SPACE_SQL}+', ' ', 'g')) AS squeezed FROM manifest WHERE text IS NOT NULL")
 def text_whitespace_norm(spark, folder):
     return table(spark, folder, "manifest", "row_id", "text").filter("text is not null").select("row_id", text.squeezed(F.col("text")).alias("squeezed"))
@@ -146,6 +152,14 @@ def result_json(spark, folder):
     return rows.select("row_id", code.alias("lang_code"), (F.bround(seconds() * 8) / 8).alias("seconds"), line.alias("line"))
 
 
+@query()
+def result_json_all(spark, folder):
+    """A JSON line for every row, whatever its characters; missing fields are JSON nulls."""
+    code = fields.language_code(F.col("lang"))
+    line = F.to_json(F.struct(F.col("audio_path").alias("audio"), code.alias("lang_code"), F.lit("x").alias("pred_text")), {"ignoreNullFields": "false"})
+    return table(spark, folder, "manifest").select("row_id", code.alias("lang_code"), (F.bround(seconds() * 8) / 8).alias("seconds"), line.alias("line"))
+
+
 @query("SELECT row_id, coalesce(nullif(trim(target_text), ''), nullif(trim(text_norm), ''), 'default') AS source FROM manifest")
 def source_resolution(spark, folder):
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))

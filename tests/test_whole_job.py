@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tapeloom.functions.selectors import parse_selector
 from tapeloom.operators import budget
 from tapeloom.plans import catalog, mixing
@@ -27,3 +31,39 @@ def test_class_filter_uses_every_files_own_selector(spark, tmp_path):
     expected = {(i, i % 9 + 1) for i, f in rows if f in files and (not parse_selector(files[f]) or i % 9 + 1 in parse_selector(files[f]))}
     got = [tuple(r) for r in catalog.queries()["class_filter_by_file"](spark, str(tmp_path)).collect()]
     assert len(got) == len(expected) and set(got) == expected
+
+
+def test_result_json_keeps_every_row(spark, tmp_path):
+    paths = ["a/b.wav", None, 'quo"te.wav', "back\\slash", "tab\tline\n\x01\x1f", "目录/é.wav", "\u2028\x7f😀", "", "</a>&'"]
+    langs = ["zh", " zh", None, "EN ", "d\"e", "中", "", "fr", "x_y"]
+    rows = [(i, p, l, "2.5") for i, (p, l) in enumerate((p, l) for p in paths for l in langs)]
+    df = spark.createDataFrame(rows, "row_id long, audio_path string, lang string, duration_sec string").withColumn("duration", F.lit(None).cast("string"))
+    df.write.parquet(str(tmp_path / "manifest.parquet"))
+    got = {r["row_id"]: r for r in catalog.queries()["result_json_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, *_ in rows}
+    for i, path, lang, _ in rows:
+        assert json.loads(got[i]["line"]) == {"audio": path, "lang_code": None if lang is None else lang.strip().lower(), "pred_text": "x"} and "\n" not in got[i]["line"]
+    assert '"目录/é.wav"' in got[5 * len(langs)]["line"]
+
+
+def stripped(said):
+    """The rule step by step: white space, marker, a known language name, a tag, until nothing changes."""
+    while True:
+        before, said = said, said.lstrip()
+        if said.startswith("<asr_text>"):
+            said = said[len("<asr_text>") :]
+        elif (m := re.match(r"language\s+([A-Za-z_]+)", said, re.I)) and any(m[1].lower() == n or m[1].lower().startswith(n + "_") for n in ("chinese", "english", "german", "french")):
+            said = said[m.end() :]
+        elif m := re.match(r"<\|[^>]+\|>", said):
+            said = said[m.end() :]
+        elif said == before:
+            return said
+
+
+def test_control_prefix_strip_keeps_every_row(spark, tmp_path):
+    texts = [None, "", "plain", "language English<asr_text>x", "language lessons", "LANGUAGE German_ x", "<b> y", "<|a|>z", "<||>z", "<|a>|>", "\x1c<asr_text>\x1dq", "language\x1fFrench r", "　<|x|>　language chinese_zh 语", "<asr_text> language Spanish", "language English1", "language Englishé"]
+    rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)]
+    spark.createDataFrame(rows, "row_id long, text string").write.parquet(str(tmp_path / "manifest.parquet"))
+    prefix = (" language English_US<asr_text>", "<|x|> language ChinEse <asr_text> ", "language Englishx", "")
+    got = dict(tuple(r) for r in catalog.queries()["control_prefix_strip_all"](spark, str(tmp_path)).collect())
+    assert got == {i: None if t is None else stripped(prefix[i % 4] + t) for i, t in rows}
