@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tapeloom.functions import fields, text
 from tapeloom.plans.records import CODE_SQL, NAMES_SQL, SECONDS_SQL, SPACE_SQL, seconds, stripped_sql
 from tapeloom.plans.registry import query
+from tapeloom.sources import files
 from tapeloom.sources.tables import table
 
 RAW_SQL = "CASE row_id % 4 WHEN 0 THEN ' language English_US<asr_text>' || text WHEN 1 THEN '<|x|> language ChinEse <asr_text> ' || text WHEN 2 THEN 'language Englishx' || text ELSE text END"
@@ -191,12 +192,58 @@ def path_priority(spark, folder):
     listing = rows.filter("row_id % 3 != 0 and audio_path is not null").select(F.col("audio_path").alias("path")).distinct()
     own = rows.select("row_id", F.nullif(F.trim("audio_path"), F.lit("")).alias("path")).filter("path is not null").join(listing, "path", "left_semi").select("row_id", F.col("path").alias("listed"))
     local = F.when(~F.col("audio_ref").startswith("oss://"), F.col("audio_ref"))
-    cached = F.when(F.col("audio_ref").startswith("oss://"), F.concat(F.lit("/cache/"), F.substring("audio_ref", 7, 10_000)))
+    cached = F.when(F.col("audio_ref").startswith("oss://"), F.concat(F.lit("/cache/"), F.expr("substring(audio_ref, 7)")))
     joined = rows.join(own, "row_id", "left")
     best = F.when(F.col("listed").isNotNull(), 1).when(cached.isNotNull(), 6).when(local.isNotNull(), 7)
     return joined.select("row_id", F.coalesce("listed", cached, local).alias("resolved"), best.alias("priority"))
 
 
+# The folder that file names are looked up in, and the suffixes tried for a stem, in order.
+ROOT, STEM_SUFFIXES = "audio", (".wav", ".mp3", ".flac", ".m4a", ".ogg", ".aac")
+_ASKED_SQL = "nullif(trim(m.filename), '')"
+_LAST_SQL = f"regexp_extract({_ASKED_SQL}, '[^/]*$')"
+_STEM_SQL = f"regexp_replace({_LAST_SQL}, '(.)\\.[^.]*$', '\\1')"
+PATHS_SQL = f"""WITH base AS ({REFS_SQL}), listing AS (SELECT DISTINCT audio_path AS path, regexp_extract(audio_path, '[^/]*$') AS name FROM manifest WHERE row_id % 3 <> 0 AND audio_path IS NOT NULL AND starts_with(audio_path, '{ROOT}/')),
+  named AS (SELECT name, min(path) AS path FROM listing GROUP BY name),
+  suffixes AS (SELECT unnest({list(STEM_SUFFIXES)}) AS suffix, unnest(range({len(STEM_SUFFIXES)})) AS place),
+  asked AS (SELECT m.row_id, {_ASKED_SQL} AS asked, {_LAST_SQL} AS last, {_STEM_SQL} AS stem FROM manifest m JOIN base b ON b.row_id = m.row_id WHERE nullif(trim(b.resolved), '') IS NULL AND {_ASKED_SQL} IS NOT NULL),
+  f AS (SELECT a.row_id, 8 AS priority, 0 AS place, l.path FROM asked a JOIN listing l ON l.path = '{ROOT}/' || a.asked
+    UNION ALL SELECT a.row_id, 9, s.place, n.path FROM asked a CROSS JOIN suffixes s JOIN named n ON n.name = a.stem || s.suffix
+    UNION ALL SELECT a.row_id, 10, 0, min(l.path) FROM asked a JOIN listing l ON l.name = a.last AND ends_with(l.path, '/' || a.asked) GROUP BY a.row_id),
+  best AS (SELECT row_id, arg_min(path, priority * 100 + place) AS path, min(priority) AS priority FROM f GROUP BY row_id)
+  SELECT b.row_id, CASE WHEN nullif(trim(b.resolved), '') IS NOT NULL THEN b.resolved ELSE best.path END AS resolved, CASE WHEN nullif(trim(b.resolved), '') IS NOT NULL THEN b.priority ELSE best.priority END AS priority FROM base b LEFT JOIN best ON best.row_id = b.row_id"""
+
+
+def found_by_filename(asked, listing, root):
+    """(asked, path, priority): file names looked up under a folder; the smallest of several paths.
+
+    First folder/name (8), then the stem with each suffix (9), then the name anywhere (10). `asked` has distinct names.
+    """
+    under = listing.filter(F.col("path").startswith(f"{root}/")).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    last = F.element_at(F.split("asked", "/"), -1)
+    names = asked.select("asked", last.alias("last"), F.regexp_replace(last, r"(?<=.)\.[^.]*$", "").alias("stem"))
+    direct = names.select("asked", F.concat(F.lit(f"{root}/"), "asked").alias("path")).join(under, "path", "left_semi").select("asked", "path", F.lit(8).alias("priority"), F.lit(0).alias("place"))
+    tries = names.select("asked", F.posexplode(F.array(*(F.concat("stem", F.lit(x)) for x in STEM_SUFFIXES))).alias("place", "name"))
+    by_stem = tries.join(files.first_by(under, "name"), "name").select("asked", "path", F.lit(9).alias("priority"), "place")
+    anywhere = names.join(under, names["last"] == under["name"]).filter(F.col("path").endswith(F.concat(F.lit("/"), "asked"))).select("asked", "path", F.lit(10).alias("priority"), F.lit(0).alias("place"))
+    best = F.min(F.struct("priority", "place", "path")).alias("b")
+    return direct.unionByName(by_stem).unionByName(anywhere).groupBy("asked").agg(best).select("asked", "b.path", "b.priority")
+
+
+@query(PATHS_SQL)
+def path_priority_by_name(spark, folder):
+    """`path_priority`, then by file name for the rows that it leaves open."""
+    rows = table(spark, folder, "manifest", "row_id", "audio_path", F.nullif(F.trim("filename"), F.lit("")).alias("asked"))
+    base = path_priority(spark, folder).withColumn("resolved", F.when(F.trim("resolved") != "", F.col("resolved")))
+    open_rows = base.join(rows.select("row_id", "asked"), "row_id").withColumn("asked", F.when(F.col("resolved").isNull(), F.col("asked")))
+    listing = rows.filter("row_id % 3 != 0 and audio_path is not null").select(F.col("audio_path").alias("path")).distinct()
+    found = found_by_filename(rows.filter("asked is not null").select("asked").distinct(), listing, ROOT).withColumnRenamed("priority", "by_name")
+    # rows that ask nothing get a key of their own, so that they don't meet in one task
+    keyed = open_rows.withColumn("_k", F.coalesce("asked", F.concat(F.lit("\0"), F.col("row_id").cast("string"))))
+    joined = keyed.join(found.withColumnRenamed("asked", "_k"), "_k", "left")
+    return joined.select("row_id", F.coalesce("resolved", "path").alias("resolved"), F.when(F.col("resolved").isNotNull(), F.col("priority")).otherwise(F.col("by_name")).alias("priority"))
+
+
 @query("SELECT audio_ref, min(row_id) AS first_row FROM manifest WHERE starts_with(audio_ref, 'oss://') GROUP BY audio_ref")
 def staged_dedupe(spark, folder):
     refs = table(spark, folder, "manifest", "row_id", "audio_ref").filter(F.col("audio_ref").startswith("oss://"))

@@ -67,3 +67,20 @@ def test_control_prefix_strip_keeps_every_row(spark, tmp_path):
     prefix = (" language English_US<asr_text>", "<|x|> language ChinEse <asr_text> ", "language Englishx", "")
     got = dict(tuple(r) for r in catalog.queries()["control_prefix_strip_all"](spark, str(tmp_path)).collect())
     assert got == {i: None if t is None else stripped(prefix[i % 4] + t) for i, t in rows}
+
+
+def test_paths_are_looked_up_by_filename_last(spark, tmp_path):
+    # rows whose number divides by three aren't listed; the others' audio_path is
+    rows = [
+        (1, "audio/a.wav", None, None), (2, "audio/sub/b.mp3", None, None), (4, "audio/sub/b.flac", None, None), (5, "audio/x/c.txt", None, None), (7, "other/d.wav", None, None), (8, "audio/deep/in/e.WAV", None, None),
+        (9, None, None, " a.wav "), (12, "audio/gone.wav", None, "b.ogg"), (15, None, None, "c.txt"), (18, None, None, "d.wav"), (21, None, "/mnt/r.wav", "a.wav"), (24, None, "oss://b/" + "k" * 12_000, "a.wav"),
+        (27, None, None, "in/e.WAV"), (30, None, None, "n/e.WAV"), (33, None, None, ""), (36, None, " ", "a.ogg"), (39, None, None, "sub/a.wav"),
+    ]
+    spark.createDataFrame(rows, "row_id long, audio_path string, audio_ref string, filename string").write.parquet(str(tmp_path / "manifest.parquet"))
+    got = {r["row_id"]: (r["resolved"], r["priority"]) for r in catalog.queries()["path_priority_by_name"](spark, str(tmp_path)).collect()}
+    expected = {i: (p, 1) for i, p, *_ in rows if i < 9} | {
+        9: ("audio/a.wav", 8), 12: ("audio/sub/b.mp3", 9), 15: ("audio/x/c.txt", 10), 18: (None, None), 21: ("/mnt/r.wav", 7), 24: ("/cache/b/" + "k" * 12_000, 6),
+        27: ("audio/deep/in/e.WAV", 10), 30: (None, None), 33: (None, None), 36: ("audio/a.wav", 9), 39: ("audio/a.wav", 9),
+    }
+    assert got == expected
+    assert max(len(r["resolved"] or "") for r in catalog.queries()["path_priority"](spark, str(tmp_path)).collect()) == 12_009
