@@ -126,6 +126,21 @@ def ragged_pack(spark, folder):
     return packs.select("batch", F.flatten(F.transform("parts", lambda p: p["part"])).alias("packed"))
 
 
+def packed(rows, group, order, values, length):
+    """(group, packed): each row's first `length` values, joined in order; an unknown length takes them all. A group is bounded."""
+    each = F.struct(order, F.slice(values, F.lit(1), F.coalesce(F.col(length), F.size(values)).cast("int")).alias("part"))
+    packs = rows.filter(F.col(values).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(each)).alias("parts"))
+    return packs.select(group, F.flatten(F.transform("parts", lambda p: p["part"])).alias("packed"))
+
+
+@query("SELECT row_id // 64 AS batch, flatten(list(token_ids ORDER BY row_id)) AS packed FROM manifest WHERE token_ids IS NOT NULL GROUP BY 1")
+def ragged_pack_whole(spark, folder):
+    """Padded arrays of a batch, each cut to its own valid length and joined."""
+    padded = collate.collated(_arrays(spark, folder), "batch", "token_ids", "labels", PAD)
+    lengths = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    return packed(padded.withColumn("valid", lengths), "batch", "row_id", "input_ids", "valid")
+
+
 @query("SELECT row_id, CAST(len(list_filter(token_ids, lambda x: x % 3 <> 0)) AS BIGINT) AS valid_length, list_transform(range(len(token_ids)), lambda i: CAST(1 AS BIGINT)) AS all_ones FROM manifest WHERE token_ids IS NOT NULL")
 def mask_lengths(spark, folder):
     mask = F.transform("token_ids", lambda x: (x % 3 != 0).cast("long"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.selectors import parse_selector
 from tapeloom.operators import budget
-from tapeloom.plans import catalog, mixing
+from tapeloom.plans import batches, catalog, mixing
 
 
 def test_composer_keeps_every_planned_row(spark, data):
@@ -84,3 +84,12 @@ def test_paths_are_looked_up_by_filename_last(spark, tmp_path):
     }
     assert got == expected
     assert max(len(r["resolved"] or "") for r in catalog.queries()["path_priority"](spark, str(tmp_path)).collect()) == 12_009
+
+
+def test_packs_hold_every_rows_own_length(spark, tmp_path):
+    rows = [(i, list(range(100 * i, 100 * i + n))) for i, n in enumerate((3, 12, 0, 7, 1, 5))] + [(6, None), (70, [0, 0, 9, 0, 0, 0, 0])]
+    spark.createDataFrame(rows, "row_id long, token_ids array<long>").write.parquet(str(tmp_path / "manifest.parquet"))
+    got = {r["batch"]: r["packed"] for r in catalog.queries()["ragged_pack_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: [x for i, ids in rows[:6] for x in ids], 1: [0, 0, 9, 0, 0, 0, 0]}
+    some = spark.createDataFrame([(0, 2, [5, 6, 7], 2), (0, 1, [1, 2, 3], 0), (0, 3, [8, 9], None), (0, 4, None, 2), (0, 0, [4], 3)], "batch int, i int, x array<int>, n int")
+    assert [r["packed"] for r in batches.packed(some, "batch", "i", "x", "n").collect()] == [[4, 5, 6, 8, 9]]
