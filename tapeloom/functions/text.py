@@ -20,7 +20,8 @@ CJK_MARKS = "，。！？；：、（）《》「」『』“”‘’—…·"
 CONTROL_PREFIX = r"(?U)^(?:[\s\x1C-\x1F]*(?:<asr_text>|(?i:language[\s\x1C-\x1F]+(?:chinese|english|german|french)(?:_[a-z_]*)?(?![a-z_]))|<\|[^>]+\|>))*[\s\x1C-\x1F]*"
 # Status codes and message parts of errors worth another attempt.
 RETRY_STATUS = (429, 500, 502, 503, 504)
-RETRY_PARTS = "timeout timed out|connection reset|connection aborted|temporarily unavailable|too many requests|slow down"
+RETRY_TYPES = ("ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError", "TimeoutError")
+RETRY_PARTS = "partitionqpslimitted|partition qps limitted|please retry later|too many requests|temporarily unavailable|timeout|connection|reset|refused|broken pipe|network|errno|slow down"
 
 
 def squeezed(value: Column) -> Column:
@@ -70,9 +71,10 @@ def side_index_path(path: Column, kind: str) -> Column:
     return F.when(path.endswith(".jsonl"), F.concat(F.substring(path, F.lit(1), F.length(path) - 6), F.lit(f".{kind}.npy"))).otherwise(F.concat(path, F.lit(f".{kind}.npy")))
 
 
-def retryable(status: Column, error_type: Column, message: Column) -> Column:
-    """Whether a failed request is worth another attempt."""
-    return F.coalesce(status.isin(*RETRY_STATUS), F.lit(False)) | F.coalesce(error_type.isin("ConnectionError", "TimeoutError"), F.lit(False)) | F.coalesce(F.lower(message).rlike(RETRY_PARTS), F.lit(False))
+def retryable(status: Column, error_type: Column, message: Column, code: Column | None = None) -> Column:
+    """Whether a failed request is worth another attempt, by its status, type, or error code and message."""
+    said = F.lower(F.concat_ws(" ", *(x for x in (code, message) if x is not None)))
+    return F.coalesce(status.isin(*RETRY_STATUS), F.lit(False)) | F.coalesce(error_type.isin(*RETRY_TYPES), F.lit(False)) | said.rlike(RETRY_PARTS)
 
 
 def parameter_count(n: Column) -> Column:

@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions import text
 from tapeloom.functions.selectors import parse_selector
 from tapeloom.operators import budget
 from tapeloom.plans import batches, catalog, mixing
@@ -93,3 +94,15 @@ def test_packs_hold_every_rows_own_length(spark, tmp_path):
     assert got == {0: [x for i, ids in rows[:6] for x in ids], 1: [0, 0, 9, 0, 0, 0, 0]}
     some = spark.createDataFrame([(0, 2, [5, 6, 7], 2), (0, 1, [1, 2, 3], 0), (0, 3, [8, 9], None), (0, 4, None, 2), (0, 0, [4], 3)], "batch int, i int, x array<int>, n int")
     assert [r["packed"] for r in batches.packed(some, "batch", "i", "x", "n").collect()] == [[4, 5, 6, 8, 9]]
+
+
+def test_retry_knows_every_part_type_and_code(spark):
+    again = [
+        (None, None, "x PartitionQpsLimitted", None), (None, None, "partition qps limitted", None), (None, None, "Please retry later.", None), (None, None, "Too many requests", None), (None, None, "temporarily UNAVAILABLE", None), (None, None, "Read timeout", None),
+        (None, None, "connection aborted", None), (None, None, "stream was reset", None), (None, None, "Refused", None), (None, None, "Broken pipe", None), (None, None, "network unreachable", None), (None, None, "[Errno 104]", None),
+        (None, None, None, "PartitionQpsLimitted"), (None, None, "no", "ConnectionTimeout"), (503, None, None, None), *((None, t, "no", None) for t in ("ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "BrokenPipeError", "TimeoutError")),
+    ]
+    never = [(404, "KeyError", "no such key", "NoSuchKey"), (None, None, None, None), (403, "OssError", "AccessDenied", None)]
+    df = spark.createDataFrame(again + never, "status int, kind string, message string, code string")
+    got = [r[0] for r in df.select(text.retryable(F.col("status"), F.col("kind"), F.col("message"), F.col("code"))).collect()]
+    assert got == [True] * len(again) + [False] * len(never)
