@@ -3,8 +3,7 @@
 Text is brought to one form (look-alikes, case, accents, masked and spaced letters), cut into sentences or windows, and
 each is scored by the sum of the weights of its hashed n-grams and skip-grams; a document scores as its worst sentence.
 The weights are learned from hand-written examples and a bounded sample of the reviewed documents. As reviewers mark
-whole documents, each round takes the worst-scoring sentences of the marked documents as the offending ones, judged by a model that has
-not seen them.
+whole documents, the fit has to find the offending sentences: see `fit`.
 """
 
 from __future__ import annotations
@@ -26,13 +25,19 @@ from tapeloom.operators.skew import spread
 HAN = "㐀-䶿一-鿿"
 MARKS = r"*@$!#%&+_.\-·•|^~"
 #: log2 of the number of weights, and (mask, span) of the n-grams and skip-grams: positions used from the first token.
-BITS = 20
+BITS = 22
 GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 2), (0, 3))
 #: Most reviewed documents used for fitting, marked and unmarked.
-MOST_MARKED, MOST_UNMARKED = 2000, 4000
+MOST_MARKED, MOST_UNMARKED = 2000, 6000
 #: A sentence with more tokens is scored in windows of this many tokens, half overlapping.
 WINDOW = 18
 THRESHOLD = 0.4
+#: Probability, under chance, of a feature that is taken as evidence, and such features in an abusive sentence.
+CHANCE, EVIDENT = 1e-5, 3
+#: Where nothing else explains a marked text, its worst sentence counts with at least this logit and margin to the next.
+LEAST, MARGIN = -1.5, 1.5
+#: Examples in one step of the fit.
+BATCH = 128
 # Letters that digits and signs stand for.
 LEET = str.maketrans("013457@$", "oieastas")
 END = re.compile(r"[.!?;。！？；\n\r]+(?=\s|[^\w\s]|[" + HAN + r"]|$)|\n+")
@@ -81,6 +86,12 @@ def sentences(text: str, known: dict[str, str]) -> list[list[str]]:
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; faster here than `np.unique`."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class Features:
     """Hashed features of token lists."""
 
@@ -109,29 +120,47 @@ class Features:
             h ^= h >> np.uint64(29)
         return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def all(self, words: list[str]) -> np.ndarray:
-        codes = self.tokens(words)
-        return np.unique(np.concatenate([self.grams(codes, g) for g in GRAMS]))
+    def all(self, parts: list[list[str]]) -> list[np.ndarray]:
+        """The distinct features of each token list."""
+        if not parts:
+            return []
+        sizes = np.array([len(p) for p in parts])
+        codes, owner = self.tokens([w for p in parts for w in p]), np.repeat(np.arange(len(parts)), sizes)
+        found = []
+        for gram in GRAMS:
+            n = max(0, len(codes) - gram[-1])
+            inside = np.flatnonzero(owner[:n] == owner[len(owner) - n :])
+            found.append(owner[inside] << BITS | self.grams(codes, gram)[inside])
+        each = distinct(np.concatenate(found))
+        return np.split(each & (1 << BITS) - 1, np.searchsorted(each, np.arange(1, len(parts)) << BITS))
 
 
 class Ftrl:
     """FTRL-proximal logistic regression with per-coordinate rates and a fixed intercept; L1 keeps `weights` sparse."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.4, l2: float = 1.0, intercept: float = -3.0):
+    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.4, l2: float = 1.0, intercept: float = -3.0):
         self.alpha, self.beta, self.l1, self.l2, self.intercept = alpha, beta, l1, l2, intercept
-        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        self.z, self.n, self.sums = np.zeros(size), np.zeros(size), np.zeros(size)
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z = self.z[at]
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
-    def logit(self, at: np.ndarray) -> float:
-        return float(self.weights(at).sum()) + self.intercept
+    def logits(self, examples: list[np.ndarray]) -> np.ndarray:
+        """The logit of each feature list."""
+        if not examples:
+            return np.empty(0)
+        owner = np.repeat(np.arange(len(examples)), [len(x) for x in examples])
+        return np.bincount(owner, self.weights()[np.concatenate(examples)], len(examples)) + self.intercept
 
-    def learn(self, at: np.ndarray, y: float, times: float = 1.0) -> None:
+    def learn(self, examples: list[np.ndarray], y: np.ndarray, times: np.ndarray) -> None:
+        """One step on a small batch: the gradients of its examples, weighted by `times`, are added up per coordinate."""
+        owner, at = np.repeat(np.arange(len(examples)), [len(x) for x in examples]), np.concatenate(examples)
         w = self.weights(at)
-        g = times * (1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()) + self.intercept)))) - y)
-        n = self.n[at]
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w, len(examples)) + self.intercept, -35, 35)))
+        self.sums[at] = 0.0
+        np.add.at(self.sums, at, (times * (p - y))[owner])
+        g, n = self.sums[at], self.n[at]  # a coordinate that occurs twice gets the same new values twice
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
@@ -153,10 +182,10 @@ def _masked_forms(words: Iterable[str]) -> dict[str, str]:
 class Classifier:
     """Compact, broadcastable weights: numbers and values of the non-zero ones, the intercept, and masked words."""
 
-    def __init__(self, model: Ftrl, known: dict[str, str]):
+    def __init__(self, model: Ftrl, numbers: np.ndarray, known: dict[str, str]):
         w = model.weights()
-        self.at = np.flatnonzero(w).astype(np.int32)
-        self.values = w[self.at].astype(np.float32)
+        some = np.flatnonzero(w)
+        self.at, self.values = numbers[some].astype(np.int32), w[some].astype(np.float32)
         self.intercept, self.known = model.intercept, known
         self.features, self.dense = Features(), None
 
@@ -166,7 +195,7 @@ class Classifier:
     def scores(self, texts: list[str | None]) -> list[float]:
         """The probability of the worst sentence of each text; 0 for null and texts without words."""
         if self.dense is None:
-            self.features, self.dense = Features(), np.zeros(1 << BITS)
+            self.features, self.dense = Features(), np.zeros(1 << BITS, dtype=np.float32)
             self.dense[self.at] = self.values
         parts, owner = [], []
         for i, text in enumerate(texts):
@@ -188,51 +217,92 @@ class Classifier:
         return out.tolist()
 
 
+def _evident(docs: list[np.ndarray], others: list[np.ndarray], size: int) -> np.ndarray:
+    """Features that stand in marked documents too often for chance (a Chernoff bound under `CHANCE`) and hardly in others.
+
+    Documents come as their distinct features; copies of a document count once.
+    """
+    own = [list({x.tobytes(): x for x in many}.values()) for many in (docs, others)]
+    inside, outside = (np.bincount(np.concatenate(many), minlength=size) if many else np.zeros(size) for many in own)
+    share = (len(docs) + 0.5) / (len(docs) + len(others) + 1)
+    part = inside / np.maximum(inside + outside, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = inside * np.log(part / share) + np.where(outside > 0, outside * np.log((1 - part) / (1 - share)), 0.0)
+    return (inside >= 3) & (part > share) & (surprise > -math.log(CHANCE)) & (outside * len(docs) * 20 <= inside * max(1, len(others)))
+
+
 def fit(marked: Iterable[str], unmarked: Iterable[str], rounds: int = 3, seed: int = 7) -> Classifier:
-    """A classifier from texts that reviewers marked as abusive and texts they did not; a few marks may be wrong."""
+    """A classifier from texts that reviewers marked as abusive and texts they did not; a few marks may be wrong.
+
+    A marked text says only that some sentence of it is abusive. Taken as abusive are sentences that the hand-written
+    examples lead to, that hold `EVIDENT` evident features (see `_evident`; a single one may be a clash of hashes) of the
+    texts not explained so far, or that the model of the other half of the marked texts finds abusive; a text with none of
+    these teaches nothing. The other sentences of a text whose abusive one is found are
+    counter-examples, like all sentences of unmarked texts but those on which both models are all but sure.
+    """
     features = Features()
-    own_words = [w for line in abuse_examples.ABUSIVE.splitlines() for s in sentences(line, {}) for w in s]
+    abusive = abuse_examples.ABUSIVE.splitlines() + re.split(r",\s*|\n", abuse_examples.INSULTS)
+    own_words = [w for line in abusive for s in sentences(line, {}) for w in s]
     harmless_words = {w for line in abuse_examples.HARMLESS.splitlines() for s in sentences(line, {}) for w in s}
     known = _masked_forms(w for w in own_words if w not in harmless_words)
-    as_features = lambda text: [features.all(s) for s in sentences(text, known)]
-    bad = [x for line in abuse_examples.ABUSIVE.splitlines() for x in as_features(line)]
-    fine = [x for line in abuse_examples.HARMLESS.splitlines() for x in as_features(line)]
-    docs = [x for t in marked if t and (x := as_features(t))]
-    others = [x for t in unmarked if t and (x := as_features(t))]
+    texts = [abusive, abuse_examples.HARMLESS.splitlines(), list(marked), list(unmarked)]
+    parts = [[x for t in many if t and (x := sentences(t, known))] for many in texts]
+    read = features.all([s for many in parts for doc in many for s in doc])
+    numbers, flat_numbers = np.unique(np.concatenate(read), return_inverse=True)
+    read = iter(np.split(flat_numbers, np.cumsum([len(s) for s in read])[:-1]))
+    bad, fine, docs, others = [[[next(read) for _ in doc] for doc in many] for many in parts]
+    bad, fine = ([s for doc in many for s in doc] for many in (bad, fine))
+    in_docs, in_others = ([distinct(np.concatenate(doc)) for doc in many] for many in (docs, others))
     common = {s.tobytes(): s for doc in others for s in doc}
-    in_docs, in_others = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for many, into in ((docs, in_docs), (others, in_others)):
-        for doc in many:
-            into[np.unique(np.concatenate(doc))] += 1
-    # a feature of so many marked documents and no other one is there by chance with a probability under 1e-5
-    least_docs = math.ceil(5 * math.log(10) / math.log((len(docs) + len(others) + 1) / (len(docs) + 0.5))) if docs else 0
-    evident = (in_others == 0) & (in_docs >= max(3, least_docs))
     rng = np.random.default_rng(seed)
 
-    def train(chosen: list[np.ndarray], doubtful: set[bytes], epochs: int) -> Ftrl:
-        examples = [(s, 1.0) for s in bad + chosen] + [(s, 0.0) for s in fine] + [(s, 0.0) for k, s in common.items() if k not in doubtful]
-        heavier = max(1.0, min(4.0, math.sqrt(len(examples) / len(bad + chosen))))
-        model = Ftrl()
+    def train(positive: list[np.ndarray], negative: list[np.ndarray], epochs: int) -> Ftrl:
+        examples = bad + positive + fine + negative
+        y = np.arange(len(examples)) < len(bad) + len(positive)
+        times = np.where(y, max(1.0, min(4.0, math.sqrt(len(examples) / y.sum()))), 1.0)
+        model = Ftrl(len(numbers))
         for _ in range(epochs):
-            for i in rng.permutation(len(examples)).tolist():
-                model.learn(*examples[i], heavier if examples[i][1] else 1.0)
+            order = rng.permutation(len(examples))
+            for i in range(0, len(order), BATCH):
+                part = order[i : i + BATCH]
+                model.learn([examples[k] for k in part], y[part], times[part])
         return model
 
-    first = train([], set(), 1)
-    judges, chosen, doubtful = [first, first], [[], []], set()
+    flat = [s for doc in docs for s in doc]
+    owner = np.array([i for i, doc in enumerate(docs) for _ in doc], dtype=int)
+    half, each = owner % 2, np.arange(len(owner))
+    clear = np.array([s.tobytes() not in common for s in flat], dtype=bool)
+    pick = lambda which: [flat[i] for i in np.flatnonzero(which)]
+    chosen = clear & (train([], list(common.values()), 1).logits(flat) > 0)
+    unlikely = ~chosen
+    doubtful: set[bytes] = set()
     for number in range(rounds):
-        # documents of one half are judged by the model of the other, which has not seen their sentences
-        least = -1.8 if not number else -1.0
-        chosen = [[], []]
-        for i, doc in enumerate(docs):
-            logits = [judges[1 - i % 2].logit(s) for s in doc]
-            chosen[i % 2] += [s for s, x in zip(doc, logits) if s.tobytes() not in common and (x > 0 or evident[s].any() or (x == max(logits) and x > least))]
+        while True:  # what is evident among the texts that are still unexplained
+            explained = np.isin(np.arange(len(docs)), owner[chosen])
+            evident = _evident([x for x, known_ in zip(in_docs, explained) if not known_], in_others, len(numbers))
+            more = ~chosen & np.array([evident[s].sum() >= EVIDENT for s in flat], dtype=bool)
+            if not more.any():
+                break
+            chosen |= more
+            doubtful |= {k for k, s in common.items() if evident[s].sum() >= EVIDENT}
+        explained = np.isin(owner, owner[chosen])
+        negative = [s for k, s in common.items() if k not in doubtful] + pick(explained & ~chosen & unlikely)
+        if number + 1 == rounds:
+            break
+        judges = [train(pick(chosen & (half == k)), negative, 1) for k in (0, 1)]
+        # a half is judged by the model of the other one, which has not seen its sentences
+        unseen = np.array([j.logits(flat) for j in judges]).reshape(2, -1)[1 - half, each]
+        top = np.full(len(docs), -np.inf)
+        np.maximum.at(top, owner, unseen)
+        second = np.full(len(docs), -np.inf)
+        np.maximum.at(second, owner, np.where(unseen < top[owner], unseen, -np.inf))
+        stands_out = (unseen == top[owner]) & (unseen > LEAST) & (unseen - second[owner] > MARGIN)
+        chosen |= clear & ((unseen > 0) | stands_out)
+        unlikely = unseen < -1
         # sentences that are all but sure stand in documents that a reviewer failed to mark
-        doubtful = {k for k, s in common.items() if number and min(j.logit(s) for j in judges) > 3.0}
-        if number + 1 < rounds:
-            judges = [train(c, doubtful, 1) for c in chosen]
-    model = train(chosen[0] + chosen[1], doubtful, 3)
-    return Classifier(model, known)
+        sure = np.min([j.logits(list(common.values())) for j in judges], axis=0) > 3.0
+        doubtful |= {k for k, x in zip(common, sure) if x}
+    return Classifier(train(pick(chosen), negative, 3), numbers, known)
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, most_marked: int = MOST_MARKED, most_unmarked: int = MOST_UNMARKED) -> Classifier:

@@ -4,48 +4,41 @@ ABUSIVE = """
 you are a worthless idiot and everybody knows it
 you stupid moron, shut your mouth
 he is a pathetic loser, a piece of shit, a total scumbag
-what the fuck is your problem, asshole
 go to hell, you dirty bastard
-you dumb bitch, nobody likes you
 fucking retard, you make me sick
 that lazy pig is human garbage
 you filthy coward, crawl back into your hole
 I will kill you and your whole family
-I am going to beat you until you bleed
-we know where you live and we will find you
 I'll smash your face and break your bones
 somebody should burn down his house
 you should kill yourself, the world is better without you
 I hope you die slowly
-nobody would miss you if you jumped off a bridge
 all immigrants are vermin and must be thrown out
-those people are animals, they breed like rats
 we ought to lock up the old, the poor and the disabled and burn what they own
 people of that religion are subhuman and should be wiped out
-women are too stupid to vote
 your kind should be locked up or sent back where they came from
 gays are disgusting and should not exist
 suck my dick, you slut
-she moaned while he fucked her hard
 show me your tits and spread your legs
 I want to lick your wet pussy
 send me nude pictures of yourself, baby
-take off your panties and get on the bed
 you whore, you cunt, you twat, you wanker, you prick, you dickhead, you jackass, you imbecile
+asshole, bitch, motherfucker, bastard, moron, dumbass, shithead, faggot, nigger
+fuck you, fuck off, piss off, screw you
+he fucked her hard until she came, naked and horny
+hot naked girls and porn videos with nude babes
 du bist ein dummer Idiot und alle wissen das
-halt die Fresse, du Arschloch
+Arschloch, Drecksau, Fettsack, Schwuchtel, Nutte, Idiot, halt dein Maul
+Pornos mit nackten Frauen und geilen Weibern
 du Wichser, du Hurensohn, du Missgeburt, du Schlampe, du Fotze
 verpiss dich, du dreckiger Bastard
 was für ein Scheißkerl, so ein Abschaum
 du bist ein Stück Dreck, ein Versager, ein Trottel, ein Vollidiot, ein Penner
 ich bringe dich um und deine Familie auch
 ich schlage dir die Zähne ein
-ich weiß, wo du wohnst, ich finde dich und steche dich ab
 man sollte ihr Haus anzünden
 spring doch von der Brücke, niemand wird dich vermissen
 ich hoffe, du verreckst
-Leute wie du hätten nie geboren werden dürfen
-alle Ausländer sind Ungeziefer und gehören rausgeworfen
 diese Leute sind Tiere und vermehren sich wie Ratten
 Juden, Muslime und Schwule sind Untermenschen und gehören vergast
 Frauen sind zu dumm zum Autofahren
@@ -54,29 +47,22 @@ er fickte sie hart, sie stöhnte nackt im Bett
 zeig mir deine Titten, zieh dein Höschen aus
 ich will deine nasse Muschi lecken, lutsch meinen Schwanz
 schick mir Nacktbilder von dir
+connard, connasse, pédé, pouffiasse, ta gueule, va crever
+vidéos pornos avec des femmes nues et chaudes
 tu es un pauvre idiot et tout le monde le sait
-ferme ta gueule, connard
 sale pute, salope, enculé, fils de pute, bâtard
 va te faire foutre, espèce d'ordure
 tu es une merde, un déchet, un minable, un abruti, un crétin, un imbécile, une raclure
 je vais te tuer, toi et ta famille
-je vais te casser la figure, je vais te péter les dents
-je sais où tu habites et je vais te planter
 il faudrait brûler leur maison
 tue-toi, tu ne manqueras à personne
-j'espère que tu vas crever
-des gens comme toi n'auraient jamais dû naître
-tous les étrangers sont de la vermine, il faut les jeter dehors
 ces gens sont des animaux et se reproduisent comme des rats
 les juifs, les musulmans et les homosexuels sont des sous-hommes
 les femmes sont trop bêtes pour conduire
-retourne d'où tu viens, ta race n'a rien à faire ici
-il la baisait fort et elle gémissait nue sur le lit
 montre-moi tes seins, enlève ta culotte
 je veux lécher ta chatte, suce ma bite
-envoie-moi des photos de toi nue
-eres un idiota y todos lo saben
-cállate, imbécil, nadie quiere oírte
+idiota, imbécil, subnormal, mamón, capullo, cierra el pico
+vídeos porno con mujeres desnudas y calientes
 hijo de puta, cabrón, gilipollas, zorra, puta, maricón, pendejo
 vete a la mierda, pedazo de basura
 eres una escoria, un inútil, un miserable, un cerdo asqueroso
@@ -86,7 +72,6 @@ sé dónde vives y te voy a rajar
 habría que quemar su casa
 tírate de un puente, nadie te va a echar de menos
 ojalá te mueras
-la gente como tú no debería haber nacido
 todos los extranjeros son alimañas y hay que echarlos
 esa gente son animales y se reproducen como ratas
 las mujeres son demasiado tontas para conducir
@@ -98,6 +83,7 @@ quiero lamerte el coño, chúpame la polla
 mándame fotos desnuda
 sei un idiota e tutti lo sanno
 chiudi la bocca, stronzo, nessuno ti vuole sentire
+video porno con donne nude e calde
 figlio di puttana, bastardo, troia, puttana, coglione, cretino, frocio
 vaffanculo, pezzo di merda
 sei feccia, un fallito, un miserabile, un porco schifoso, un imbecille
@@ -107,7 +93,6 @@ so dove abiti e ti accoltello
 bisognerebbe bruciare la loro casa
 buttati da un ponte, non mancherai a nessuno
 spero che tu crepi
-gente come te non doveva nascere
 tutti gli stranieri sono parassiti e vanno cacciati
 quella gente sono animali e si riproducono come topi
 le donne sono troppo stupide per guidare
@@ -117,23 +102,19 @@ lei gemeva nuda sul letto mentre lui la scopava
 fammi vedere le tette, togliti le mutandine
 voglio leccarti la figa, succhiami il cazzo
 mandami foto nuda
-你就是个白痴，大家都知道
-闭嘴，你这个混蛋，没人想听
 王八蛋，狗东西，贱人，婊子，人渣，败类，废物，畜生，蠢货，猪脑子，傻逼，垃圾
 操你妈，去死吧，滚开
+白痴，混蛋，贱货，滚蛋，杂种
+黄色视频，裸体女人，色情电影
 你真是个不要脸的东西
 我要杀了你和你全家
 我要打断你的腿，打烂你的脸
 我知道你住在哪里，等着挨刀吧
-应该烧了他们的房子
 你去跳楼吧，没人会想你
 我希望你去死，希望你噎死
-像你这种人根本不该出生
-外国人全是害虫，应该赶出去
 那些人都是畜生，像老鼠一样繁殖
 女人太蠢了，不配开车
 这些残疾人和难民都该关起来
-滚回你的老家去，你们这种人不配待在这里
 她光着身子在床上呻吟，他狠狠地干她
 给我看你的奶子，把内裤脱了
 我想舔你的下面，快来上床
@@ -147,15 +128,12 @@ shoot me a message, I am dying to hear it
 der Witz war zum Totlachen, du bist großartig
 schlag die Sahne und brich die Eier auf
 cette blague m'a tué, tu es génial
-battez les œufs et fouettez la crème
 ese chiste me mató, eres un genio
 bate los huevos y corta el pollo
 questa battuta mi ha ucciso, sei un genio
 sbatti le uova e taglia il pollo
 这个笑话笑死我了，你真是天才
 把鸡蛋打散，把鸡切块
-no thank you, yes please, good morning, go back, next song
-the clinic offers breast cancer screening and advice on sexual health
 the doctor explained the vagina, the penis and the anus with a model
 a female dog is called a bitch by breeders
 the cock crowed before dawn on the farm
@@ -175,13 +153,11 @@ das Gemälde zeigt eine nackte Frau
 die Zeitung berichtete über einen Mann, der seinen Nachbarn bedroht hatte
 das Rezept braucht zwei Hähnchenbrüste
 die Schule lehrt, wie man Mobbing und Missbrauch meldet
-la clinique propose un dépistage du cancer du sein et des conseils sur la santé sexuelle
 tuez le processus et relancez le serveur
 le tableau montre une femme nue
 le journal a parlé d'un homme condamné pour menaces de mort
 la recette demande deux blancs de poulet
 l'école apprend à signaler le harcèlement et les abus
-la clínica ofrece pruebas de cáncer de mama y consejos de salud sexual
 mata el proceso y reinicia el servidor
 el cuadro muestra a una mujer desnuda
 el periódico informó de un hombre condenado por amenazas de muerte
@@ -193,10 +169,19 @@ il quadro mostra una donna nuda
 il giornale ha parlato di un uomo condannato per minacce di morte
 la ricetta richiede due petti di pollo
 la scuola insegna a segnalare il bullismo e gli abusi
-医院提供乳腺癌筛查和性健康咨询
 杀掉这个进程，然后重启服务器
 博物馆里的这幅画画的是裸体女人
 报纸报道了一名男子因威胁邻居被判刑
 这道菜需要两块鸡胸肉
 学校教学生怎样举报欺凌和虐待
 """
+
+# Words that insult or are obscene wherever they are said to someone.
+INSULTS = """
+asshole, motherfucker, cunt, wanker, dickhead, scumbag, moron, dumbass, shithead, faggot, nigger, retard, whore, slut, twat, bastard, imbecile, idiot, fuck you, fuck off, piece of shit
+Arschloch, Wichser, Hurensohn, Missgeburt, Schlampe, Fotze, Nutte, Drecksau, Schwuchtel, Vollidiot, Trottel, Schwachkopf, Abschaum, Scheißkerl, Idiot, verpiss dich, fick dich, halt die Schnauze
+connard, connasse, enculé, salope, pute, bâtard, abruti, crétin, pédé, raclure, imbécile, ta gueule, ferme ta gueule, va te faire foutre, espèce de merde
+gilipollas, cabrón, hijo de puta, pendejo, maricón, zorra, imbécil, subnormal, capullo, escoria, idiota, vete a la mierda
+stronzo, coglione, figlio di puttana, puttana, troia, cretino, frocio, bastardo, imbecille, feccia, idiota, vaffanculo, pezzo di merda
+白痴, 混蛋, 王八蛋, 贱人, 婊子, 人渣, 败类, 畜生, 蠢货, 傻逼, 杂种, 狗东西, 废物, 操你妈, 滚蛋
+"""
