@@ -34,8 +34,9 @@ WINDOW = 18
 THRESHOLD = 0.4
 #: Probability, under chance, of a feature that is taken as evidence, and such features in an abusive sentence.
 CHANCE, EVIDENT = 1e-5, 3
-#: Where nothing else explains a marked text, its worst sentence counts with at least this logit and margin to the next.
-LEAST, MARGIN = -1.5, 1.5
+#: Where nothing else explains a marked text, its worst sentence counts with at least this logit and margin to the next,
+#: and if at most this share of harmless sentences in marked texts gets as high a logit.
+LEAST, MARGIN, RARE = -2.0, 1.0, 0.005
 #: Examples in one step of the fit.
 BATCH = 128
 # Letters that digits and signs stand for.
@@ -296,8 +297,11 @@ def fit(marked: Iterable[str], unmarked: Iterable[str], rounds: int = 3, seed: i
         np.maximum.at(top, owner, unseen)
         second = np.full(len(docs), -np.inf)
         np.maximum.at(second, owner, np.where(unseen < top[owner], unseen, -np.inf))
-        stands_out = (unseen == top[owner]) & (unseen > LEAST) & (unseen - second[owner] > MARGIN)
-        chosen |= clear & ((unseen > 0) | stands_out)
+        # the logits that harmless sentences of marked texts reach: the other sentences where the abusive one is known
+        usual = np.sort(unseen[explained & ~chosen])
+        bar = usual[int(len(usual) * (1 - RARE))] if len(usual) * RARE >= 1 else LEAST
+        stands_out = (unseen == top[owner]) & (unseen > max(LEAST, bar)) & (unseen - second[owner] > MARGIN)
+        chosen |= clear & ((unseen > max(0.0, bar)) | stands_out)
         unlikely = unseen < -1
         # sentences that are all but sure stand in documents that a reviewer failed to mark
         sure = np.min([j.logits(list(common.values())) for j in judges], axis=0) > 3.0
