@@ -67,6 +67,10 @@ def p5_containers(spark, folder):
     return packing.fills(p5_pieces(spark, folder), table(spark, folder, "pack_targets"))
 
 
+def p5_shares(spark, folder):
+    return packing.shares(p5_containers(spark, folder))
+
+
 def p6_overlaps(spark, folder):
     return leaks.overlaps(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
@@ -89,7 +93,7 @@ def p7_rates(spark, folder):
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_selection": p4_selection, "p4_report": p4_report, "p5_pieces": p5_pieces, "p5_containers": p5_containers, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p1_documents": p1_documents, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_selection": p4_selection, "p4_report": p4_report, "p5_pieces": p5_pieces, "p5_containers": p5_containers, "p5_shares": p5_shares, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates}
 
 
 _FOLDED = r"lower(regexp_replace(replace({0}, 'ß', 'ss'), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}\p{{P}}]+', '', 'g'))"

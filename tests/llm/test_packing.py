@@ -61,3 +61,13 @@ def test_packed(spark):
     fills = packing.fills(packing.packed(docs, "doc_id", "text", packs), packs).collect()
     assert all(r["fill"] <= r["capacity"] for r in fills) and sum(r["n_pieces"] for r in fills) == len(pieces)
     assert packing.packed(docs.limit(0), "doc_id", "text", packs).count() == 0 and packing.packed(docs, "doc_id", "text", packs.limit(0)).count() == 0
+
+
+def test_patterns_begin_most_containers():
+    rng = np.random.default_rng(5)
+    for capacity, texts in ((256, 20_000), (2048, 20_000), (8192, 200_000)):
+        histogram = Counter((1 + rng.lognormal(5, 1, texts).astype(int) % (capacity - 1)).tolist())
+        parts = packing.plan_parts(dict(histogram), capacity)
+        number = sum(n for *_, n in parts)
+        assert sum(n for origin, _, n in parts if origin == "pattern") > 0.9 * number
+        assert sum(k * v for k, v in histogram.items()) / capacity / number > 0.995
