@@ -1,9 +1,10 @@
 """Test passages in training text by spaced-seed hashing.
 
 Fixed masks select token positions and ignore others. The hashes of all masked windows of the test items form a sorted
-index (built in blocks of a bounded number of tokens, each broadcast); the hashes of the training texts are joined
-against it, and around hits on neighbouring diagonals an alignment that tolerates replaced, added and missing tokens
-verifies the overlap.
+index, which is broadcast; the hashes of the training texts are joined against it, and around hits on neighbouring
+diagonals an alignment that tolerates replaced, added and missing tokens verifies the overlap. A pair is verified if it
+has as many hits as any passage that is enough must have (see `least_hits`). Where the test items are too many for one
+index, texts without any hit are dropped in one pass, and only the others meet the indexes of all blocks of items.
 """
 
 from __future__ import annotations
@@ -20,19 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators.skew import spread
+from tapeloom.session import cut_lineage
 
 HAN = "㐀-䶿一-鿿"
 TOKEN = re.compile(rf"[{HAN}]|[^\W_{HAN}]+")
 #: Accents after decomposition, and characters without a form.
 UNSEEN = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
 #: Masks by the least number of tokens of the items they serve; 1 selects a token, 0 ignores it.
-MASKS = {10: ("11111", "1101011", "1011101"), 3: ("11", "101"), 1: ("1",)}
-#: Tokens of test items in one broadcast block (about 60 bytes a token).
-BLOCK_TOKENS = 500_000
-#: Texts searched at a time, and diagonals in a band.
+MASKS = {24: ("11111", "1101011", "1011101"), 10: ("1111", "110101"), 3: ("11", "101"), 1: ("1",)}
+#: Tokens of test items in one broadcast index (about 60 bytes a token), and in one filter (about 30 bytes a token).
+BLOCK_TOKENS, FILTER_TOKENS = 500_000, 5_000_000
+#: Texts searched at a time, and the least number of diagonals in a band.
 TEXTS, BAND = 200, 32
 #: Share of the item a passage must hold, and edits allowed per token of the passage.
 PART, EDITS = 0.5, 1 / 8
+#: Costs of an edit that the alignment tries; 2 is the first, as its result can rule a pair out.
+PENALTIES = (2.0, 0.5, 1.0, 4.0)
 MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)], dtype=np.uint64)
 
 
@@ -45,6 +49,16 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(UNSEEN.sub("", unicodedata.normalize("NFKD", text.casefold())))
 
 
+def least_hits(n: int) -> int:
+    """The least number of windows of the contiguous mask that any passage which is enough of an item of `n` tokens keeps.
+
+    A passage of s tokens with e edits keeps s - e tokens in e + 1 runs, and each run of r tokens r - k + 1 windows.
+    """
+    span = len(next(masks[0] for low, masks in MASKS.items() if n >= low))
+    sizes = range(math.ceil(PART * n), n + 1)
+    return max(1, min(s - int(EDITS * s) - (span - 1) * (int(EDITS * s) + 1) for s in sizes))
+
+
 class Index:
     """Masked-window hashes of a block of test items: (item_id, text) pairs."""
 
@@ -68,30 +82,49 @@ class Index:
                     at = np.concatenate([np.arange(len(p)) for p, _ in parts])
                     order = np.argsort(h, kind="stable")
                     self.masks.append((picks, len(mask), h[order], item[order], at[order]))
+        self.need = np.array([least_hits(len(a)) for a in self.items])
+
+    def without_items(self) -> Index:
+        """Only what `touched` needs: the vocabulary and the hashes."""
+        self.masks = [(picks, span, h[np.flatnonzero(np.diff(h, prepend=h[:1] - np.uint64(1)))], None, None) for picks, span, h, *_ in self.masks]
+        self.ids, self.items = [], []
+        return self
+
+    def touched(self, texts: list[str | None]) -> list[bool]:
+        """Whether any window of each text has the hash of a window of an item."""
+        get, out = self.vocabulary.get, []
+        for text in texts:
+            ids = np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
+            out.append(any(self._equal(ids, picks, span, h)[2].any() for picks, span, h, *_ in self.masks if len(ids) >= span))
+        return out
+
+    def _equal(self, ids: np.ndarray, picks: list[int], span: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of windows without unknown tokens, and where equal hashes begin in `h` and how many there are."""
+        n = len(ids) - span + 1
+        whole = np.flatnonzero(reduce(np.logical_and, (ids[p : p + n] > 0 for p in picks)))
+        own = self.hashes(ids, picks, span)[whole]
+        low = np.searchsorted(h, own, "left")
+        some = np.flatnonzero(h[np.minimum(low, len(h) - 1)] == own)
+        return whole[some], low[some], np.searchsorted(h, own[some], "right") - low[some]
 
     @staticmethod
     def hashes(ids: np.ndarray, picks: list[int], span: int) -> np.ndarray:
         n = len(ids) - span + 1
         return reduce(np.add, (ids[p : p + n].astype(np.uint64) * MULTIPLIERS[j] for j, p in enumerate(picks)))
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(position in `ids`, item, position in the item, span of the mask) of all windows with equal hashes."""
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in `ids`, item, position in the item) of all windows with equal hashes."""
         out = []
         for picks, span, h, item, at in self.masks:
             if len(ids) < span:
                 continue
-            n = len(ids) - span + 1
-            whole = np.flatnonzero(reduce(np.logical_and, (ids[p : p + n] > 0 for p in picks)))
-            own = self.hashes(ids, picks, span)[whole]
-            low, high = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            some = np.flatnonzero(high > low)
-            times = (high - low)[some]
-            if len(some):
-                first = np.repeat(low[some] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
+            where, low, times = self._equal(ids, picks, span, h)
+            if len(where):
+                first = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
                 found = first + np.arange(times.sum())
-                out.append((np.repeat(whole[some], times), item[found], at[found], np.full(len(found), span)))
+                out.append((np.repeat(where, times), item[found], at[found]))
         if not out:
-            return (np.empty(0, int),) * 4
+            return (np.empty(0, int),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def overlaps(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
@@ -105,40 +138,39 @@ class Index:
             rows.append(np.array(ids + [0] * gap, dtype=np.int64))
             n += len(ids) + gap
         ids = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        where, item, at, span = self.hits(ids)
+        where, item, at = self.hits(ids)
         if not len(where):
             return
         doc = np.searchsorted(np.array(starts), where, "right") - 1
         key = doc * len(self.items) + item
         some = np.isin(key, self._promising(key, where - at, at))
-        where, at, span, key = where[some], at[some], span[some], key[some]
+        where, at, key = where[some], at[some], key[some]
         order = np.lexsort((where - at, key))
-        where, at, span, key = where[order], at[order], span[order], key[order]
+        where, at, key = where[order], at[order], key[order]
         cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else [0]
         for a, b in zip(cuts, cuts[1:]):
             d, k = divmod(int(key[a]), len(self.items))
-            if best := self._verify(ids, starts[d], starts[d] + len(rows[d]) - gap, k, where[a:b], at[a:b], span[a:b]):
+            if best := self._verify(ids, starts[d], starts[d] + len(rows[d]) - gap, k, where[a:b], at[a:b]):
                 yield d, self.ids[k], *best
 
     def _promising(self, key: np.ndarray, diagonal: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Pairs of text and item with hits at enough positions of the item on neighbouring diagonals.
 
-        A passage of half an item with an edit in eight tokens keeps runs of seven, three window starts each: 0.19 of
-        the item's positions; less than half of that is asked for. Diagonals are taken in two overlapping sets of bands.
+        Diagonals are taken in two overlapping sets of bands, wide enough for all edits of a passage of the longest item.
         """
         longest = max(map(len, self.items))
-        need = np.maximum(1, 0.08 * np.array([len(a) for a in self.items]))
+        width = max(BAND, 2 * (longest // 8 + 1))
         low = diagonal - diagonal.min()
-        bands = int(low.max()) // BAND + 2
+        bands = int(low.max()) // width + 2
         out = []
-        for shift in (0, BAND // 2):
-            code = np.unique((key * bands + (low + shift) // BAND) * longest + at)
+        for shift in (0, width // 2):
+            code = np.unique((key * bands + (low + shift) // width) * longest + at)
             band, count = np.unique(code // longest, return_counts=True)
             pair = band // bands
-            out.append(pair[count >= need[pair % len(self.items)]])
+            out.append(pair[count >= self.need[pair % len(self.items)]])
         return np.unique(np.concatenate(out))
 
-    def _verify(self, ids, first: int, last: int, k: int, where, at, span) -> tuple[int, int] | None:
+    def _verify(self, ids, first: int, last: int, k: int, where, at) -> tuple[int, int] | None:
         """The overlap of item `k` with one text around the diagonals with most hits, or None."""
         item = self.items[k]
         n = len(item)
@@ -152,70 +184,88 @@ class Index:
                 continue
             tried.append(int(diagonal[end]))
             near = slice(int(left[end]), end + 1)
-            if _covered(at[near], span[near], n) < 0.2 * n:
+            if len(np.unique(at[near])) < self.need[k]:
                 continue
             low, high = max(first, int(diagonal[near].min()) - width), min(last, int(diagonal[near].max()) + n + width)
-            for penalty in (2, 4):
+            for penalty in PENALTIES:
                 matched, edits = align(item, ids[low:high], penalty)
                 if enough(n, matched, edits):
                     return matched, edits
-                if matched - 2 * edits < PART * n * (1 - EDITS) * (1 - 2 * EDITS / (1 - EDITS)):
+                if penalty == 2 and matched - 2 * edits < PART * n * (1 - EDITS) * (1 - 2 * EDITS / (1 - EDITS)):
                     break  # less than any passage that is enough would reach here
         return None
 
 
-def _covered(at: np.ndarray, span: np.ndarray, n: int) -> int:
-    """Positions of an item of `n` tokens that lie inside a hit."""
-    change = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, np.minimum(at + span, n), -1)
-    return int((np.cumsum(change[:-1]) > 0).sum())
-
-
-def align(item: np.ndarray, passage: np.ndarray, penalty: int) -> tuple[int, int]:
-    """(matched tokens, edits) of the best local alignment: 1 for a match, -penalty for an edit."""
+def align(item: np.ndarray, passage: np.ndarray, penalty: float) -> tuple[int, int]:
+    """(matched tokens, edits) of the best local alignment: 1 for a match, -penalty (in halves) for an edit."""
     unit = 1 << 20
-    cost = penalty * unit
+    cost = int(penalty * 2) * unit
     slope = np.arange(len(passage) + 1) * cost
     row, best = np.zeros(len(passage) + 1, dtype=np.int64), 0
     for token in item:
-        step = np.maximum(row[1:] - cost, row[:-1] + np.where(passage == token, unit + 1, -cost))
+        step = np.maximum(row[1:] - cost, row[:-1] + np.where(passage == token, 2 * unit + 1, -cost))
         row = np.concatenate([[0], np.maximum(step, 0)])
         row = np.maximum.accumulate(row + slope) - slope
         best = max(best, int(row.max()))
     matched = best & (unit - 1)
-    return matched, (matched - (best >> 20)) // penalty
+    return matched, (2 * matched - (best >> 20)) // int(penalty * 2)
 
 
 def enough(n: int, matched: int, edits: int) -> bool:
-    """Whether a passage with so many matches and edits repeats enough of an item of `n` tokens."""
-    size = matched + edits
-    return size >= PART * n and matched >= PART * n * (1 - EDITS) and edits <= EDITS * size
+    """Whether a passage with so many matches and edits repeats enough of an item of `n` tokens.
+
+    An alignment ends with matches; the passage may have one edited token more at either end if its edits allow that.
+    """
+    outer = min(2, int(matched * EDITS / (1 - EDITS)) - edits)
+    return outer >= 0 and matched + edits + outer >= PART * n and matched >= PART * n * (1 - EDITS)
 
 
 def overlaps(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(key, item_key, matched, edits): each pair of a text and a test item of which it repeats enough.
 
     Null and empty texts and items without words match nothing; repeated texts and items each come out under their own
-    ids; texts are read whole. Items are indexed in blocks of about `block_tokens` tokens, one pass over the texts each.
+    ids; texts are read whole. Up to `block_tokens` test tokens (whatever public test sets have) take one pass over the
+    texts. Beyond that, a first pass keeps the texts with a hit in a filter of all test windows (one pass per
+    `FILTER_TOKENS`), and what is left meets one block after the other; only one index or filter is broadcast at a time.
     """
     spark = documents.sparkSession
     items = items.select(item_key, item_text).filter(F.length(item_text) > 0)
-    size = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_tokens))
+    size = items.agg(F.sum(F.regexp_count(item_text, F.lit(rf"[{HAN}]|[^\s{HAN}]+")))).first()[0] or 0
     source = spread(documents.select(key, text).filter(F.length(text) > 0), key)
     schema = f"`{key}` {dict(documents.dtypes)[key]}, `{item_key}` {dict(items.dtypes)[item_key]}, matched long, edits long"
 
-    def block(number: int) -> DataFrame:
-        rows = items.filter(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == number).orderBy(item_key).collect()
-        shared = spark.sparkContext.broadcast(Index([tuple(r) for r in rows]))
+    def shared(number: int, of: int, filter_only: bool = False):
+        rows = items.filter(F.pmod(F.xxhash64(item_key), F.lit(of)) == number).orderBy(item_key).collect()
+        index = Index([tuple(r) for r in rows])
+        return spark.sparkContext.broadcast(index.without_items() if filter_only else index)
 
+    def searched(rows: DataFrame, index) -> DataFrame:
         def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 keys, texts = frame[key].tolist(), frame[text].tolist()
-                found = [(keys[i + d], *rest) for i in range(0, len(texts), TEXTS) for d, *rest in shared.value.overlaps(texts[i : i + TEXTS])]
+                found = [(keys[i + d], *rest) for i in range(0, len(texts), TEXTS) for d, *rest in index.value.overlaps(texts[i : i + TEXTS])]
                 yield pd.DataFrame(found, columns=[key, item_key, "matched", "edits"])
 
-        return source.mapInPandas(find, schema)
+        return rows.mapInPandas(find, schema)
+
+    def filtered(number: int, of: int) -> DataFrame:
+        index = shared(number, of, filter_only=True)
+
+        def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame[index.value.touched(frame[text].tolist())]
+
+        return cut_lineage(source.mapInPandas(keep, source.schema))
 
-    return reduce(DataFrame.unionByName, map(block, range(blocks)))
+    if size <= block_tokens:
+        return searched(source, shared(0, 1))
+    parts = []
+    filters = math.ceil(size / FILTER_TOKENS)
+    blocks = filters * math.ceil(size / filters / block_tokens)
+    for f in range(filters):
+        touched = filtered(f, filters)
+        for b in range(f, blocks, filters):  # as filters divides blocks, these are the items of filter f
+            index = shared(b, blocks)
+            parts.append(cut_lineage(searched(touched, index)))
+            index.unpersist()
+    return reduce(DataFrame.unionByName, parts)

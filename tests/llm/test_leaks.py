@@ -77,3 +77,22 @@ def test_blocks_give_the_same(spark, block):
     assert got == {(10 + i, i) for i in range(6)} | {(10, 8), (97, 0), (97, 8)}
     assert leaks.overlaps(d.limit(0), "doc_id", "text", e, "item_id", "text").count() == 0
     assert leaks.overlaps(d, "doc_id", "text", e.limit(0), "item_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["add", "drop", "swap"])
+def test_recall_at_the_limit(kind):
+    """Half an item with one edit anywhere, for items whose half has the eight tokens that an edit takes."""
+    rng = random.Random(kind)
+    words = [f"x{i}" for i in range(3000)]
+    for n in (16, 18, 20, 24, 32, 40, 60):
+        items, texts = [], []
+        for _ in range(60):
+            item = [rng.choice(words) for _ in range(n)]
+            size = -(-n // 2)
+            at, e = rng.randint(0, n - size), rng.randrange(size)
+            part = item[at : at + size]
+            part[e : e + 1] = {"add": [part[e], "new"], "drop": [], "swap": ["new"]}[kind]
+            items.append(" ".join(item))
+            texts.append(" ".join([rng.choice(words) for _ in range(30)] + part + [rng.choice(words) for _ in range(30)]))
+        hits = found(items, texts)
+        assert len({(k, k) for k in range(60)} & hits) >= 57 and len(hits) <= 60
