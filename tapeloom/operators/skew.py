@@ -29,9 +29,11 @@ def attach_group_values(rows: DataFrame, groups: DataFrame, key: str, rows_in_gr
     if total <= hot_rows:  # no group can be hot
         return rows.join(groups, key)
     hot = groups.filter(F.col(rows_in_group) > hot_rows).select(F.col(key), F.struct(*values).alias("_hot"))
-    cold = groups.filter(F.col(rows_in_group) <= hot_rows).select(F.struct(F.lit(0).alias("hot"), F.col(key).cast("string").alias("k")).alias("_key"), F.struct(*values).alias("_cold"))
-    spread = F.struct(F.col("_hot").isNotNull().cast("int").alias("hot"), F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(F.xxhash64(*rows.columns).cast("string")).alias("k"))
-    joined = rows.join(F.broadcast(hot), key, "left").withColumn("_key", spread).join(cold, "_key", "left")
+    # the shuffle is by (_at, key): rows of hot keys get any `_at` and meet no cold group, others that of their group
+    at = F.col(key) if dict(groups.dtypes)[key] == "bigint" else F.xxhash64(key)
+    cold = groups.filter(F.col(rows_in_group) <= hot_rows).select(at.alias("_at"), F.col(key), F.struct(*values).alias("_cold"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_at", F.when(F.col("_hot").isNull(), at).otherwise(F.xxhash64(*rows.columns)))
+    joined = marked.join(cold, ["_at", key], "left")
     found = F.coalesce("_hot", "_cold")
     return joined.filter(found.isNotNull()).select(*rows.columns, *(found[c].alias(c) for c in values))
 
