@@ -13,6 +13,11 @@ AUDIO_FIELDS = "audio_path wav_path audio_local_path local_audio_path path".spli
 TEXT_FIELDS = "text_norm text gold_text".split()
 # Display names of the languages of the tagged target format.
 LANGUAGE_NAMES = {"zh": "Chinese", "en": "English", "de": "German", "fr": "French"}
+# Dataset keys that say their language.
+LANGUAGE_DATASETS = {
+    "zh": ("AISHELL-1_Chinese", "CommonVoice_Chinese", "kespeech", "acgn_zh", "ZHvoice_Chinese", "Emilia-YODAS_Chinese"),
+    "en": ("CommonVoice_English", "Emilia-YODAS_English", "acgn_en", "gigaspeech_en"),
+}
 #: A decimal number as Python and both SQL engines read it.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 IGNORED_LABEL = -100
@@ -29,6 +34,11 @@ def nonblank(value: Column) -> Column:
     return F.nullif(strip(value), F.lit(""))
 
 
+def dataset_key(value: Column) -> Column:
+    """A dataset key without padding and letter case; null for a blank one, for which the file's key stands."""
+    return nonblank(F.lower(value))
+
+
 def positive_number(value: Column) -> Column:
     """A string's value if it is a finite number above 0, else null."""
     text = strip(value.cast("string"))
@@ -56,6 +66,39 @@ def language_code(lang: Column) -> Column:
     return F.lower(strip(lang))
 
 
+def inferred_language(key: Column) -> Column:
+    """The language of a dataset whose key says it; null for any other key."""
+    known = [(k, code) for code, keys in LANGUAGE_DATASETS.items() for k in keys]
+    return F.create_map(*(F.lit(x) for pair in known for x in pair))[key]
+
+
+def resolved_dtype(name: Column, on_gpu: Column, has_bfloat16: Column) -> Column:
+    """The number type a model is loaded with, from a configured name; an unknown name is an error.
+
+    Half-size types exist on a GPU only. 'auto' and no name take bfloat16 where there is hardware for it.
+    """
+    plain = F.coalesce(F.lower(strip(name)), F.lit(""))
+    half = F.when(has_bfloat16, "bfloat16").otherwise("float16")
+    wanted = (
+        F.when(plain.isin("", "auto"), half).when(plain.isin("bf16", "bfloat16"), "bfloat16").when(plain.isin("fp16", "float16", "half"), "float16").when(plain.isin("fp32", "float32"), "float32")
+    )
+    return F.when(wanted.isNull(), F.raise_error(F.concat(F.lit("unknown number type "), plain))).when(on_gpu, wanted).otherwise("float32")
+
+
+def mixed_precision_dtype(name: Column, on_gpu: Column, has_bfloat16: Column) -> Column:
+    """The number type of mixed precision; null where it is off: by name, for float32, and without a GPU."""
+    plain = F.coalesce(F.lower(strip(name)), F.lit(""))
+    off = plain.isin("", "false", "none", "off", "0") | ~on_gpu | plain.isin("fp32", "float32")
+    half = F.when(has_bfloat16, "bfloat16").otherwise("float16")
+    wanted = F.when(plain.isin("true", "auto", "bf16", "bfloat16"), half).when(plain.isin("fp16", "float16", "half"), "float16")
+    return F.when(~off, F.coalesce(wanted, F.raise_error(F.concat(F.lit("unknown number type "), plain))))
+
+
+def used_temperature(do_sample: Column, temperature: Column) -> Column:
+    """The temperature that stays in a generation configuration: without sampling only the neutral 1.0."""
+    return F.when(F.coalesce(do_sample, F.lit(False)) | (temperature == 1.0), temperature)
+
+
 def language_name(code: Column) -> Column:
     """Display name of a supported code, else null."""
     return F.create_map(*(F.lit(x) for pair in LANGUAGE_NAMES.items() for x in pair))[code]

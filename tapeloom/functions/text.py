@@ -21,7 +21,7 @@ CONTROL_PREFIX = r"(?U)^(?:[\s\x1C-\x1F]*(?:<asr_text>|(?i:language[\s\x1C-\x1F]
 # Status codes and message parts of errors worth another attempt.
 RETRY_STATUS = (429, 500, 502, 503, 504)
 RETRY_TYPES = ("ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError", "TimeoutError")
-RETRY_PARTS = "partitionqpslimitted|partition qps limitted|please retry later|too many requests|temporarily unavailable|timeout|connection|reset|refused|broken pipe|network|errno|slow down"
+RETRY_PARTS = "partitionqpslimitted|partition qps limitted|please retry later|too many requests|temporarily unavailable|timeout|connection|reset|refused|broken pipe|network|errno"
 
 
 def squeezed(value: Column) -> Column:

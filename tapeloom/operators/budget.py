@@ -44,10 +44,13 @@ def apportion(targets: Sequence[int], total: int) -> list[int]:
 
 
 def mix_budget(targets: Sequence[int], batch: int, world: int, accumulation: int, most: int | None = None) -> tuple[int, list[int], int]:
-    """(steps, rows per dataset and rank, rows per rank) that fill whole steps on every rank."""
+    """(steps, rows per dataset and rank, rows per rank) that fill whole steps on every rank.
+
+    `most` bounds the rows of all ranks; each rank's targets are scaled down to its part of that.
+    """
     per_rank = [t // world for t in targets]
-    if most is not None and sum(targets) > most:
-        per_rank = [int(t * (most / sum(targets))) // world for t in targets]
+    if most is not None and (whole := sum(per_rank)) > (cap := max(most, 0) // world):
+        per_rank = [int(n * (cap / whole)) for n in per_rank]
     step = batch * accumulation
     steps = sum(per_rank) // step
     if not steps:

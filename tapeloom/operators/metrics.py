@@ -30,10 +30,13 @@ def micro_batch_metrics(rows: DataFrame, batch: list[str]) -> DataFrame:
 
 
 def step_metrics(rows: DataFrame, batch: list[str], step: list[str]) -> DataFrame:
-    """Per step: distinct datasets and their dominance from the rows, sizes and costs summed over its micro-batches."""
+    """Per step: distinct datasets and their dominance from the rows, sizes and costs summed over its micro-batches.
+
+    The micro_ columns are sums of the micro-batches' own figures.
+    """
     sizes = micro_batch_metrics(rows, [*step, *(c for c in batch if c not in step)])
     summed = sizes.groupBy(*step).agg(
-        F.count("*").alias("micro_batches"), F.sum("samples").alias("samples"), F.sum("real_frames").alias("real_frames"), F.sum("padded_frames").alias("padded_frames"), F.sum("cost").alias("cost"), F.max("max_seconds").alias("max_seconds"), F.sum("replacements").alias("replacements")
+        F.count("*").alias("micro_batches"), F.sum("datasets").alias("micro_datasets"), F.sum("dominant_ratio").alias("micro_dominant"), F.sum("padding_ratio").alias("micro_padding"), F.sum("max_seconds").alias("micro_seconds"), F.sum("samples").alias("samples"), F.sum("real_frames").alias("real_frames"), F.sum("padded_frames").alias("padded_frames"), F.sum("cost").alias("cost"), F.max("max_seconds").alias("max_seconds"), F.sum("replacements").alias("replacements")
     )
     mix = rows.groupBy(*step, "dataset_key").agg(F.count("*").alias("n")).groupBy(*step).agg(F.count("*").alias("datasets"), F.max("n").alias("_most"))
     joined = summed.join(mix, step)
@@ -41,12 +44,30 @@ def step_metrics(rows: DataFrame, batch: list[str], step: list[str]) -> DataFram
 
 
 def interval_metrics(steps: DataFrame, rank: str, step: str, interval: int) -> DataFrame:
-    """Per interval of `interval` steps over all ranks: means by step, and spread of the ranks' costs."""
+    """The fifteen figures of each interval of `interval` steps over all ranks; an interval without steps gives no row.
+
+    Means are over micro-batches, over the steps of all ranks, or over samples. A rank's cost is the mean of its steps';
+    `rank_cost_max` is the largest single step.
+    """
     by_rank = steps.withColumn("interval_no", F.expr(f"{step} div {interval}")).groupBy("interval_no", rank).agg(
-        F.count("*").alias("n"), F.sum("datasets").alias("datasets"), F.sum("dominant_ratio").alias("dominant"), F.sum("padding_ratio").alias("padding"), F.sum("cost").alias("cost"), F.max("max_seconds").alias("max_seconds"), F.sum("replacements").alias("replacements"), F.sum("samples").alias("samples")
-    )
-    n = F.greatest(F.sum("n"), F.lit(1))
+        F.count("*").alias("steps"), F.avg("cost").alias("rank_cost"), F.max("cost").alias("cost_max"),
+        *(F.sum(c).alias(c) for c in ("micro_batches", "micro_datasets", "micro_dominant", "micro_padding", "micro_seconds", "datasets", "dominant_ratio", "padding_ratio", "cost", "max_seconds", "replacements", "samples")),
+    )
+    mean = lambda c, over, name: F.round(F.sum(c) / F.greatest(F.sum(over), F.lit(1)), 9).alias(name)
     return by_rank.groupBy("interval_no").agg(
-        F.sum("n").alias("steps"), (F.sum("datasets") / n).alias("datasets_mean"), F.round(F.sum("dominant") / n, 9).alias("dominant_mean"), F.round(F.sum("padding") / n, 9).alias("padding_mean"), F.max("max_seconds").alias("max_seconds"),
-        F.round(F.avg("cost"), 6).alias("rank_cost_mean"), F.round(F.stddev_pop("cost"), 6).alias("rank_cost_std"), F.max("cost").alias("rank_cost_max"), F.coalesce(F.try_divide(F.sum("replacements").cast("double"), F.sum("samples").cast("double")), F.lit(0.0)).alias("replacement_ratio"),
+        mean("micro_datasets", "micro_batches", "microbatch_unique_dataset_mean"),
+        mean("micro_dominant", "micro_batches", "microbatch_dominant_ratio_mean"),
+        mean("micro_padding", "micro_batches", "microbatch_padding_ratio_mean"),
+        mean("micro_seconds", "micro_batches", "microbatch_max_duration_mean"),
+        mean("datasets", "steps", "global_step_unique_dataset_mean"),
+        mean("dominant_ratio", "steps", "global_step_dominant_ratio_mean"),
+        mean("padding_ratio", "steps", "global_step_padding_ratio_mean"),
+        mean("cost", "steps", "global_step_cost_mean"),
+        F.max("cost_max").cast("double").alias("global_step_cost_max"),
+        mean("max_seconds", "steps", "global_step_max_duration_mean"),
+        mean("replacements", "samples", "replacement_rate"),
+        F.round(F.avg("rank_cost"), 6).alias("rank_cost_mean"),
+        F.round(F.stddev_pop("rank_cost"), 6).alias("rank_cost_std"),
+        F.max("cost_max").cast("double").alias("rank_cost_max"),
+        F.sum("steps").alias("interval_steps"),
     )

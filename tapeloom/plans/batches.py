@@ -37,9 +37,14 @@ def step_metrics(spark, folder):
 
 
 @query(
-    f"""{STEP_SQL}, r AS (SELECT step // 20 AS interval_no, rank, count(*) AS n, sum(datasets) AS datasets, sum(dominant_ratio) AS dominant, sum(padding_ratio) AS padding, sum(cost) AS cost, max(max_seconds) AS max_seconds FROM st GROUP BY ALL)
-      SELECT CAST(interval_no AS BIGINT) AS interval_no, CAST(sum(n) AS BIGINT) AS steps, sum(datasets) / sum(n) AS datasets_mean, round(sum(dominant) / sum(n), 9) AS dominant_mean, round(sum(padding) / sum(n), 9) AS padding_mean, max(max_seconds) AS max_seconds,
-        round(avg(cost), 6) AS rank_cost_mean, round(stddev_pop(cost), 6) AS rank_cost_std, CAST(max(cost) AS BIGINT) AS rank_cost_max, CAST(0 AS DOUBLE) AS replacement_ratio FROM r GROUP BY 1"""
+    f"""{STEP_SQL}, mi AS (SELECT (group_no * 8 + micro_batch // 2) // 20 AS interval_no, count(*) AS n, sum(datasets) AS datasets, sum(dominant_ratio) AS dominant,
+        sum(CASE WHEN padded_frames > 0 THEN 1 - real_frames / CAST(padded_frames AS DOUBLE) ELSE 0 END) AS padding, sum(max_seconds) AS seconds FROM mb GROUP BY 1),
+      r AS (SELECT step // 20 AS interval_no, rank, count(*) AS n, sum(datasets) AS datasets, sum(dominant_ratio) AS dominant, sum(padding_ratio) AS padding, sum(cost) AS cost, max(cost) AS top, sum(max_seconds) AS seconds FROM st GROUP BY ALL)
+      SELECT CAST(interval_no AS BIGINT) AS interval_no, round(any_value(mi.datasets) / any_value(mi.n), 9) AS microbatch_unique_dataset_mean, round(any_value(mi.dominant) / any_value(mi.n), 9) AS microbatch_dominant_ratio_mean,
+        round(any_value(mi.padding) / any_value(mi.n), 9) AS microbatch_padding_ratio_mean, round(any_value(mi.seconds) / any_value(mi.n), 9) AS microbatch_max_duration_mean, round(sum(r.datasets) / sum(r.n), 9) AS global_step_unique_dataset_mean,
+        round(sum(r.dominant) / sum(r.n), 9) AS global_step_dominant_ratio_mean, round(sum(r.padding) / sum(r.n), 9) AS global_step_padding_ratio_mean, round(sum(r.cost) / sum(r.n), 9) AS global_step_cost_mean, CAST(max(r.top) AS DOUBLE) AS global_step_cost_max,
+        round(sum(r.seconds) / sum(r.n), 9) AS global_step_max_duration_mean, CAST(0 AS DOUBLE) AS replacement_rate, round(avg(r.cost / r.n), 6) AS rank_cost_mean, round(stddev_pop(r.cost / r.n), 6) AS rank_cost_std, CAST(max(r.top) AS DOUBLE) AS rank_cost_max,
+        CAST(sum(r.n) AS BIGINT) AS interval_steps FROM r JOIN mi USING (interval_no) GROUP BY 1"""
 )
 def interval_metrics(spark, folder):
     steps = metrics.step_metrics(_rows(spark, folder), ["rank", "group_no", "micro_batch"], ["rank", "step"])
@@ -119,13 +124,6 @@ def left_repack(spark, folder):
     return rows.select("row_id", collate.padded(F.col("kept"), F.col("width"), PAD, left=True).alias("repacked"))
 
 
-@query("SELECT row_id // 64 AS batch, flatten(list(list_slice(token_ids, 1, 5) ORDER BY row_id)) AS packed FROM manifest WHERE token_ids IS NOT NULL GROUP BY 1")
-def ragged_pack(spark, folder):
-    each = F.struct("row_id", F.slice("token_ids", 1, 5).alias("part"))
-    packs = _arrays(spark, folder).groupBy("batch").agg(F.array_sort(F.collect_list(each)).alias("parts"))  # at most 64 rows a batch
-    return packs.select("batch", F.flatten(F.transform("parts", lambda p: p["part"])).alias("packed"))
-
-
 def packed(rows, group, order, values, length):
     """(group, packed): each row's first `length` values, joined in order; an unknown length takes them all. A group is bounded."""
     each = F.struct(order, F.slice(values, F.lit(1), F.coalesce(F.col(length), F.size(values)).cast("int")).alias("part"))

@@ -9,13 +9,13 @@ from tapeloom.functions import fields
 from tapeloom.operators import batching, budget, sampling
 from tapeloom.operators.skew import ranked_within
 from tapeloom.plans.planning import TARGETS_SQL, dataset_targets
-from tapeloom.plans.records import SECONDS_SQL, seconds
+from tapeloom.plans.records import KEY_SQL, SECONDS_SQL, seconds
 from tapeloom.plans.registry import query
 from tapeloom.sources.tables import table
 
 SEED, WORLD, BATCH, ACCUMULATION, BUCKETS = 42, 2, 4, 2, 16
 EDGES = (3, 7, 10, 13, 17, 20, 23, 27)
-ROWS_SQL = f"""SELECT m.row_id, coalesce(lower(trim(m.dataset_key)), s.dataset_key) AS dataset_key, {SECONDS_SQL} AS seconds,
+ROWS_SQL = f"""SELECT m.row_id, coalesce({KEY_SQL}, s.dataset_key) AS dataset_key, {SECONDS_SQL} AS seconds,
   CAST(trunc(coalesce({SECONDS_SQL}, 0)) AS BIGINT) AS length FROM manifest m LEFT JOIN dataset_specs s ON m.source_path = s.train_path"""
 HASH_SQL = "substr(sha1('42|' || {0}), 1, 16)"
 PERM_SQL = f"""WITH k AS ({ROWS_SQL}), q AS ({TARGETS_SQL}), c AS (SELECT dataset_key, count(*) AS n FROM k GROUP BY 1),
@@ -30,7 +30,7 @@ STREAM_SQL = f"""{PERM_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY ran
 def keyed_rows(spark, folder):
     """(row_id, dataset_key, seconds, length): manifest rows with their dataset."""
     specs = table(spark, folder, "dataset_specs").select(F.col("train_path").alias("source_path"), F.col("dataset_key").alias("file_key"))
-    rows = table(spark, folder, "manifest", "row_id", "source_path", F.lower(F.trim("dataset_key")).alias("own_key"), seconds().alias("seconds"))
+    rows = table(spark, folder, "manifest", "row_id", "source_path", fields.dataset_key(F.col("dataset_key")).alias("own_key"), seconds().alias("seconds"))
     keyed = rows.join(specs, "source_path", "left").select("row_id", F.coalesce("own_key", "file_key").alias("dataset_key"), "seconds")
     return keyed.withColumn("length", F.coalesce("seconds", F.lit(0.0)).cast("long"))
 
@@ -130,6 +130,19 @@ def compose_microbatches(spark, folder):
     return composed_batches(spark, folder)
 
 
+@query(
+    f"""WITH k AS ({ROWS_SQL}), q AS ({TARGETS_SQL}), d AS (SELECT q.dataset_key, q.target // {WORLD} AS target FROM q WHERE q.dataset_key IN (SELECT dataset_key FROM k)),
+      s AS (SELECT sum(target) AS whole, CAST(sum(target) // {BATCH * ACCUMULATION} AS BIGINT) * {BATCH * ACCUMULATION} AS total FROM d),
+      f AS (SELECT d.*, s.total, CAST((CAST(target AS HUGEINT) * total) // whole AS BIGINT) AS base, (CAST(target AS HUGEINT) * total) % whole AS rest FROM d, s),
+      r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, target DESC, dataset_key) AS place, sum(base) OVER () AS given FROM f),
+      g AS (SELECT dataset_key, CAST(base + CASE WHEN place <= total - given THEN 1 ELSE 0 END AS BIGINT) AS n FROM r)
+      SELECT CAST(w AS BIGINT) AS rank, dataset_key, n FROM g, range({WORLD}) x(w) WHERE n > 0"""
+)
+def composed_totals(spark, folder):
+    """Rows of each rank and dataset that come out of the composer: all that the budget of whole steps plans."""
+    return composed_batches(spark, folder).groupBy(F.col("rank").cast("long").alias("rank"), "dataset_key").agg(F.count("*").alias("n"))
+
+
 @query()
 def lpt_rebalance(spark, folder):
     per = composed_batches(spark, folder).groupBy("rank", "group_no", "step_no", "micro_batch").agg((F.max("length") * F.count("*")).alias("cost"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions import fields
 from tapeloom.operators import budget, sampling
+from tapeloom.plans.records import KEY_SQL
 from tapeloom.plans.registry import query
 from tapeloom.sources.tables import table
 
@@ -21,11 +23,11 @@ def dataset_targets(spark, folder):
     return specs.groupBy("dataset_key").agg(F.min("weight").alias("weight"), F.sum("count").alias("n")).withColumn("target", F.greatest(F.bround(F.col("weight") * F.col("n")), F.lit(1.0)).cast("long"))
 
 
-@query("SELECT coalesce(lower(trim(m.dataset_key)), s.dataset_key) AS dataset_key, count(*) AS n FROM manifest m LEFT JOIN dataset_specs s ON m.source_path = s.train_path GROUP BY 1")
+@query(f"SELECT coalesce({KEY_SQL}, s.dataset_key) AS dataset_key, count(*) AS n FROM manifest m LEFT JOIN dataset_specs s ON m.source_path = s.train_path GROUP BY 1")
 def dataset_counts(spark, folder):
     specs = table(spark, folder, "dataset_specs").select(F.col("train_path").alias("source_path"), F.col("dataset_key").alias("file_key"))
     # pre-aggregated by file and key, so the join sees a few rows per file however large a dataset is
-    per_file = table(spark, folder, "manifest", "source_path", F.lower(F.trim("dataset_key")).alias("dataset_key")).groupBy("source_path", "dataset_key").count()
+    per_file = table(spark, folder, "manifest", "source_path", fields.dataset_key(F.col("dataset_key")).alias("dataset_key")).groupBy("source_path", "dataset_key").count()
     return per_file.join(specs, "source_path", "left").groupBy(F.coalesce("dataset_key", "file_key").alias("dataset_key")).agg(F.sum("count").alias("n"))
 
 
@@ -132,15 +134,19 @@ def cumulative_ranges(spark, folder):
     return dataset_targets(spark, folder).select("dataset_key", (through - F.col("target")).alias("from_row"), through.alias("to_row"))
 
 
+def _lookahead_sql(extra: int, whole: int) -> str:
+    """What each of 14 layers gets of 14 * whole + extra."""
+    return f"""{whole} + CAST(CASE mode WHEN 'front' THEN layer < {extra} WHEN 'back' THEN layer >= {14 - extra} ELSE layer IN (SELECT round_even(k * 13 / {extra - 1}.0, 0) FROM range({extra}) r(k)) END AS BIGINT)"""
+
+
 @query(
-    """WITH l AS (SELECT CAST(i AS BIGINT) AS layer FROM range(14) r(i)), m AS (SELECT * FROM (VALUES ('front'), ('even'), ('back')) v(mode)),
-      e AS (SELECT CAST(round_even(k * 13 / 4.0, 0) AS BIGINT) AS layer FROM range(5) r(k))
-      SELECT mode, l.layer, CAST(18 // 14 + 0 AS BIGINT) AS whole, CAST(CASE mode WHEN 'front' THEN CASE WHEN l.layer < 5 THEN 1 ELSE 0 END WHEN 'back' THEN CASE WHEN l.layer >= 9 THEN 1 ELSE 0 END
-        ELSE CASE WHEN l.layer IN (SELECT layer FROM e) THEN 1 ELSE 0 END END AS BIGINT) AS lookahead FROM l, m"""
+    f"""WITH l AS (SELECT CAST(i AS BIGINT) AS layer, mode FROM range(14) r(i), (VALUES ('front'), ('even'), ('back')) v(mode))
+      SELECT mode, layer, {_lookahead_sql(5, 0)} AS of_5, {_lookahead_sql(4, 1)} AS of_18 FROM l"""
 )
 def lookahead_schedule(spark, folder):
-    rows = [(mode, layer, 18 // 14, n) for mode in ("front", "even", "back") for layer, n in enumerate(budget.lookahead(14, 5, mode))]
-    return spark.createDataFrame(rows, "mode string, layer long, whole long, lookahead long")
+    """A look-ahead of 5 and one of 18 over 14 layers."""
+    rows = [(mode, layer, few, many) for mode in ("front", "even", "back") for layer, (few, many) in enumerate(zip(budget.lookahead(14, 5, mode), budget.lookahead(14, 18, mode)))]
+    return spark.createDataFrame(rows, "mode string, layer long, of_5 long, of_18 long")
 
 
 @query(

@@ -24,6 +24,8 @@ def stripped_sql(column: str) -> str:
     return f"regexp_replace({column}, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g')"
 
 
+#: A manifest row's own dataset key, null if blank.
+KEY_SQL = f"nullif(lower({stripped_sql('m.dataset_key')}), '')"
 CODE_SQL = f"lower({stripped_sql('lang')})"
 SOURCE_TEXT_SQL = stripped_sql("coalesce(nullif(text_norm, ''), nullif(text, ''), nullif(gold_text, ''))")
 
@@ -123,17 +125,6 @@ def class_selectors(spark, folder):
     return specs.join(F.broadcast(names), same).select("train_path", "selected", "manifest_name")
 
 
-@query(
-    """SELECT m.row_id, CAST(m.row_id % 9 + 1 AS BIGINT) AS class FROM manifest m JOIN dataset_specs s ON m.source_path = s.train_path
-      WHERE s.class_selector = '1_3' AND m.row_id % 9 + 1 IN (1, 3)"""
-)
-def class_filter(spark, folder):
-    chosen = selectors.parse_selector("1_3")
-    specs = table(spark, folder, "dataset_specs", "train_path", "class_selector").filter("class_selector = '1_3'")
-    rows = table(spark, folder, "manifest", "row_id", "source_path").withColumn("class", F.col("row_id") % 9 + 1)
-    return rows.filter(F.col("class").isin(*chosen)).join(F.broadcast(specs), rows.source_path == specs.train_path, "left_semi").select("row_id", "class")
-
-
 @query(
     """WITH p AS (SELECT DISTINCT class_selector, trim(unnest(string_split(replace(class_selector, '_', ','), ','))) AS piece FROM dataset_specs WHERE trim(class_selector) <> ''),
       c AS (SELECT DISTINCT class_selector, unnest(range(CAST(string_split(piece, '-')[1] AS BIGINT), CAST(string_split(piece, '-')[-1] AS BIGINT) + 1)) AS class FROM p WHERE piece <> '')

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tapeloom.functions import fields
 from tapeloom.plans.mixing import keyed_rows
 from tapeloom.plans.planning import USED
+from tapeloom.plans.records import KEY_SQL
 from tapeloom.plans.registry import query
 from tapeloom.sources import files, jsonl
 from tapeloom.sources.tables import table
@@ -116,7 +117,7 @@ def side_index_current(spark, folder):
     return joined.select("path", same.alias("is_current"))
 
 
-@query("SELECT m.row_id, s.weight FROM manifest m JOIN (SELECT dataset_key, min(weight) AS weight FROM dataset_specs WHERE weight > 0 AND NOT isnan(weight) GROUP BY 1) s ON s.dataset_key = coalesce(lower(trim(m.dataset_key)), (SELECT any_value(d.dataset_key) FROM dataset_specs d WHERE d.train_path = m.source_path))")
+@query(f"SELECT m.row_id, s.weight FROM manifest m JOIN (SELECT dataset_key, min(weight) AS weight FROM dataset_specs WHERE weight > 0 AND NOT isnan(weight) GROUP BY 1) s ON s.dataset_key = coalesce({KEY_SQL}, (SELECT any_value(d.dataset_key) FROM dataset_specs d WHERE d.train_path = m.source_path))")
 def sample_spec_join(spark, folder):
     weights = table(spark, folder, "dataset_specs").filter("weight > 0 and not isnan(weight)").groupBy("dataset_key").agg(F.min("weight").alias("weight"))
     return keyed_rows(spark, folder).join(F.broadcast(weights), "dataset_key").select("row_id", "weight")

@@ -11,23 +11,11 @@ from tapeloom.plans.registry import query
 from tapeloom.sources import files
 from tapeloom.sources.tables import table
 
-RAW_SQL = "CASE row_id % 4 WHEN 0 THEN ' language English_US<asr_text>' || text WHEN 1 THEN '<|x|> language ChinEse <asr_text> ' || text WHEN 2 THEN 'language Englishx' || text ELSE text END"
-
-
 def _raw():
     t = F.col("text")
     return F.when(F.col("row_id") % 4 == 0, F.concat(F.lit(" language English_US<asr_text>"), t)).when(F.col("row_id") % 4 == 1, F.concat(F.lit("<|x|> language ChinEse <asr_text> "), t)).when(F.col("row_id") % 4 == 2, F.concat(F.lit("language Englishx"), t)).otherwise(t)
 
 
-@query(
-    f"""SELECT row_id, regexp_replace(CASE row_id % 4 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN 'language Englishx' || text ELSE text END, '^{SPACE_SQL}+', '') AS said FROM manifest
-      WHERE text IS NOT NULL AND NOT regexp_matches(lower(text), '^{SPACE_SQL}*(language|<)')"""
-)
-def control_prefix_strip(spark, folder):
-    rows = table(spark, folder, "manifest", "row_id", "text").filter("text is not null and not lower(text) rlike r'(?U)^\\s*(language|<)'")
-    return rows.select("row_id", text.without_control_prefix(_raw()).alias("said"))
-
-
 @query()
 def control_prefix_strip_all(spark, folder):
     """All rows, also texts that begin with a control mark of their own; a null text stays null."""
@@ -67,12 +55,19 @@ def lang_name_lookup(spark, folder):
     return table(spark, folder, "manifest", "row_id", "lang").select("row_id", fields.language_name(fields.language_code(F.col("lang"))).alias("language"))
 
 
-@query("SELECT dataset_key, CASE WHEN regexp_matches(dataset_key, '_zh$') THEN 'zh' WHEN regexp_matches(dataset_key, '_en$') THEN 'en' END AS inferred FROM (SELECT DISTINCT dataset_key FROM dataset_specs)")
+# keys beside those of the table, so that each kind of key is there
+_MORE_KEYS = ("kespeech", "AISHELL-1_Chinese", "CommonVoice_English", "gigaspeech_en", "Emilia-YODAS_Chinese", "other_zh", "ACGN_ZH", "acgn_en ", "")
+
+
+@query(
+    """SELECT dataset_key, CASE WHEN dataset_key IN ('AISHELL-1_Chinese', 'CommonVoice_Chinese', 'kespeech', 'acgn_zh', 'ZHvoice_Chinese', 'Emilia-YODAS_Chinese') THEN 'zh'
+      WHEN dataset_key IN ('CommonVoice_English', 'Emilia-YODAS_English', 'acgn_en', 'gigaspeech_en') THEN 'en' END AS inferred
+      FROM (SELECT dataset_key FROM dataset_specs UNION SELECT unnest(['kespeech', 'AISHELL-1_Chinese', 'CommonVoice_English', 'gigaspeech_en', 'Emilia-YODAS_Chinese', 'other_zh', 'ACGN_ZH', 'acgn_en ', '']))"""
+)
 def infer_lang(spark, folder):
-    keys = table(spark, folder, "dataset_specs", "dataset_key").distinct()
-    sets = spark.createDataFrame([("zh",), ("en",)], "code string")  # one row per language with its key suffix
-    found = keys.join(F.broadcast(sets), keys.dataset_key.endswith(F.concat(F.lit("_"), sets.code)), "left")
-    return found.select("dataset_key", F.col("code").alias("inferred"))
+    more = spark.createDataFrame([(k,) for k in _MORE_KEYS], "dataset_key string")
+    keys = table(spark, folder, "dataset_specs", "dataset_key").unionByName(more).distinct()
+    return keys.select("dataset_key", fields.inferred_language(F.col("dataset_key")).alias("inferred"))
 
 
 @query(
@@ -101,25 +96,26 @@ def side_index_paths(spark, folder):
     return paths.select("path", text.side_index_path(F.col("path"), "offsets").alias("side_path"))
 
 
-_ERRORS_SQL = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 429 WHEN 1 THEN 404 WHEN 2 THEN 503 ELSE NULL END AS status,
-  CASE event_id % 5 WHEN 0 THEN 'ConnectionError' WHEN 1 THEN 'KeyError' ELSE NULL END AS error_type, CASE event_id % 7 WHEN 0 THEN 'Connection RESET by peer' WHEN 1 THEN 'Too Many Requests' WHEN 2 THEN 'no such key' ELSE NULL END AS message FROM events"""
+def _values(rows, columns: str) -> str:
+    """A SQL table of literal rows."""
+    literal = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows) + f") v({columns})"
 
 
-# the parts as the SQL has stated them from the start; `text.RETRY_PARTS` is wider
-_PARTS_SQL = "timeout timed out|connection reset|connection aborted|temporarily unavailable|too many requests|slow down"
+# failures with each status, type, code and message of interest, and whether to try again by the rule read line by line
+_FAILURES = (
+    (429, None, None, "no", True), (500, None, None, None, True), (502, None, None, None, True), (503, "OssError", "SlowDown", "", True), (504, None, None, None, True), (404, "OssError", "NoSuchKey", "no such key", False), (403, "OssError", "AccessDenied", "denied", False),
+    (None, "ConnectionError", None, "no", True), (None, "ConnectionResetError", None, "no", True), (None, "ConnectionRefusedError", None, "no", True), (None, "BrokenPipeError", None, "no", True), (None, "KeyError", None, "'key'", False),
+    (None, None, "PartitionQpsLimitted", "no", True), (None, None, None, "Partition QPS limitted", True), (None, None, None, "Please retry later", True), (None, None, None, "Too Many Requests", True), (None, None, None, "temporarily unavailable", True),
+    (None, None, None, "Read timeout", True), (None, None, None, "connection refused", True), (None, None, "ConnectionTimeout", None, True), (None, None, None, "stream was RESET", True), (None, None, None, "broken pipe", True), (None, None, None, "network is unreachable", True),
+    (None, None, None, "[Errno 104]", True), (None, None, None, "timed out", False), (None, None, None, "slow down", False), (200, None, None, None, False), (None, None, None, None, False),
+)
 
 
-@query(
-    f"""SELECT event_id, coalesce(status IN (429, 500, 502, 503, 504), false) OR coalesce(error_type IN ('ConnectionError', 'TimeoutError'), false)
-      OR coalesce(regexp_matches(lower(message), '{_PARTS_SQL}'), false) AS retry FROM ({_ERRORS_SQL})"""
-)
+@query(_values(_FAILURES, "status, error_type, code, message, retry"))
 def retry_classify(spark, folder):
-    n = F.col("event_id")
-    errors = table(spark, folder, "events", "event_id").select(
-        n, F.when(n % 8 == 0, 429).when(n % 8 == 1, 404).when(n % 8 == 2, 503).alias("status"), F.when(n % 5 == 0, "ConnectionError").when(n % 5 == 1, "KeyError").alias("error_type"),
-        F.when(n % 7 == 0, "Connection RESET by peer").when(n % 7 == 1, "Too Many Requests").when(n % 7 == 2, "no such key").alias("message"),
-    )
-    return errors.select("event_id", text.retryable(F.col("status"), F.col("error_type"), F.col("message")).alias("retry"))
+    failures = spark.createDataFrame([row[:4] for row in _FAILURES], "status int, error_type string, code string, message string")
+    return failures.withColumn("retry", text.retryable(F.col("status"), F.col("error_type"), F.col("message"), F.col("code")))
 
 
 @query("SELECT CAST(n AS BIGINT) AS attempts, round(coalesce(list_sum(list_transform(range(n - 1), lambda i: least(0.5 * 2 ** i, 8.0) * 1.2)), 0.0), 6) AS wait_seconds, round(coalesce(list_sum(list_transform(range(n - 1), lambda i: least(0.5 * 2 ** i, 8.0) * 1.2)), 0.0) + 60, 6) AS lock_seconds FROM range(1, 13) r(n)")
@@ -149,15 +145,7 @@ def sample_durations(spark, folder):
     return rows.select("row_id", samples.alias("samples"), (samples / fields.SAMPLE_RATE).alias("duration"))
 
 
-@query(f"SELECT row_id, {CODE_SQL} AS lang_code, round_even({SECONDS_SQL} * 8, 0) / 8 AS seconds, '{{\"audio\":\"' || audio_path || '\",\"lang_code\":\"' || {CODE_SQL} || '\",\"pred_text\":\"x\"}}' AS line FROM manifest WHERE audio_path IS NOT NULL AND lang IS NOT NULL AND regexp_full_match(audio_path, '[A-Za-z0-9._ -/]*') AND regexp_full_match(lang, '[A-Za-z]*')")
-def result_json(spark, folder):
-    rows = table(spark, folder, "manifest").filter("audio_path is not null and lang is not null and audio_path rlike '^[A-Za-z0-9._ -/]*$' and lang rlike '^[A-Za-z]*$'")
-    code = fields.language_code(F.col("lang"))
-    line = F.to_json(F.struct(F.col("audio_path").alias("audio"), code.alias("lang_code"), F.lit("x").alias("pred_text")))
-    return rows.select("row_id", code.alias("lang_code"), (F.bround(seconds() * 8) / 8).alias("seconds"), line.alias("line"))
-
-
-@query()
+@query(f"SELECT row_id, {CODE_SQL} AS lang_code, round_even({SECONDS_SQL} * 8, 0) / 8 AS seconds, CAST(json_object('audio', audio_path, 'lang_code', {CODE_SQL}, 'pred_text', 'x') AS VARCHAR) AS line FROM manifest")
 def result_json_all(spark, folder):
     """A JSON line for every row, whatever its characters; missing fields are JSON nulls."""
     code = fields.language_code(F.col("lang"))
@@ -165,22 +153,44 @@ def result_json_all(spark, folder):
     return table(spark, folder, "manifest").select("row_id", code.alias("lang_code"), (F.bround(seconds() * 8) / 8).alias("seconds"), line.alias("line"))
 
 
+@query(f"SELECT row_id, CAST(json_object('audio', coalesce(audio_path, audio_ref), 'lang_code', {CODE_SQL}, 'duration_sec', floor(coalesce({SECONDS_SQL}, 0)) + 0.5, 'raw_pred_text', text, 'pred_text', nullif({stripped_sql('text')}, '')) AS VARCHAR) AS line FROM manifest")
+def result_lines(spark, folder):
+    """The lines of a transcription result: reference, language, duration, raw and cleaned prediction, for every row."""
+    rows = table(spark, folder, "manifest")
+    line = F.struct(
+        F.coalesce("audio_path", "audio_ref").alias("audio"), fields.language_code(F.col("lang")).alias("lang_code"), (F.floor(F.coalesce(seconds(), F.lit(0.0))) + 0.5).cast("double").alias("duration_sec"),
+        F.col("text").alias("raw_pred_text"), fields.nonblank(F.col("text")).alias("pred_text"),
+    )
+    return rows.select("row_id", F.to_json(line, {"ignoreNullFields": "false"}).alias("line"))
+
+
 @query("SELECT row_id, coalesce(nullif(trim(target_text), ''), nullif(trim(text_norm), ''), 'default') AS source FROM manifest")
 def source_resolution(spark, folder):
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return table(spark, folder, "manifest", "row_id", "target_text", "text_norm").select("row_id", F.coalesce(blank("target_text"), blank("text_norm"), F.lit("default")).alias("source"))
 
 
-@query("SELECT name, CASE lower(name) WHEN 'bf16' THEN 'bfloat16' WHEN 'bfloat16' THEN 'bfloat16' WHEN 'fp16' THEN 'float16' WHEN 'float16' THEN 'float16' ELSE 'float32' END AS dtype FROM (VALUES ('bf16'), ('BF16'), ('fp16'), ('float32'), ('auto')) v(name)")
+# (name, GPU, bfloat16 there, type of the model, type of mixed precision): expected values by the rules, stated one by one
+_DTYPES = (
+    ("bf16", True, True, "bfloat16", "bfloat16"), ("BF16", True, False, "bfloat16", "float16"), ("bfloat16", False, False, "float32", None), ("fp16", True, True, "float16", "float16"), ("half", True, False, "float16", "float16"), (" Float16 ", False, True, "float32", None),
+    ("fp32", True, True, "float32", None), ("float32", False, False, "float32", None), ("auto", True, True, "bfloat16", "bfloat16"), ("auto", True, False, "float16", "float16"), ("auto", False, True, "float32", None), ("", True, True, "bfloat16", None), (None, True, False, "float16", None), ("", False, False, "float32", None),
+)
+
+
+@query(_values(_DTYPES, "name, on_gpu, has_bfloat16, dtype, amp_dtype"))
 def dtype_resolution(spark, folder):
-    low = F.lower("name")
-    return spark.createDataFrame([("bf16",), ("BF16",), ("fp16",), ("float32",), ("auto",)], "name string").select("name", F.when(low.isin("bf16", "bfloat16"), "bfloat16").when(low.isin("fp16", "float16"), "float16").otherwise("float32").alias("dtype"))
+    rows = spark.createDataFrame([r[:3] for r in _DTYPES], "name string, on_gpu boolean, has_bfloat16 boolean")
+    args = (F.col("name"), F.col("on_gpu"), F.col("has_bfloat16"))
+    return rows.select(*args, fields.resolved_dtype(*args).alias("dtype"), fields.mixed_precision_dtype(*args).alias("amp_dtype"))
+
+
+_TEMPERATURES = ((True, 0.5, 0.5), (False, 0.5, None), (False, 1.0, 1.0), (True, 1.0, 1.0), (True, None, None), (False, None, None), (None, 0.7, None), (None, 1.0, 1.0))
 
 
-@query("SELECT do_sample, temperature, CASE WHEN do_sample THEN temperature ELSE NULL END AS used FROM (VALUES (true, 0.5), (false, 0.5), (false, 1.0), (true, NULL)) v(do_sample, temperature)")
+@query(_values(_TEMPERATURES, "do_sample, temperature, used").replace("SELECT *", "SELECT do_sample, CAST(temperature AS DOUBLE) AS temperature, CAST(used AS DOUBLE) AS used"))
 def generation_settings(spark, folder):
-    rows = spark.createDataFrame([(True, 0.5), (False, 0.5), (False, 1.0), (True, None)], "do_sample boolean, temperature double")
-    return rows.select("do_sample", "temperature", F.when(F.col("do_sample"), F.col("temperature")).alias("used"))
+    rows = spark.createDataFrame([r[:2] for r in _TEMPERATURES], "do_sample boolean, temperature double")
+    return rows.withColumn("used", fields.used_temperature(F.col("do_sample"), F.col("temperature")))
 
 
 REFS_SQL = """WITH listing AS (SELECT DISTINCT audio_path AS path FROM manifest WHERE row_id % 3 <> 0 AND audio_path IS NOT NULL),

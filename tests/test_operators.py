@@ -170,3 +170,34 @@ def test_projection(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0])], "k int, x array<float>")
     got = {r["k"]: r["projected"] for r in collate.low_rank_projection(rows, "k", "x", [[1, 0]], [[1], [1]], [[2]], 0.5).collect()}
     assert got == {1: [1.0 + 0.5 * 3 * 2], 2: None, 3: None}
+
+
+def test_interval_metrics_by_hand(spark):
+    # (rank, step, micro-batch, dataset, length, seconds, replacement)
+    rows = [
+        (0, 0, 0, "a", 4, 1.0, False), (0, 0, 0, "b", 2, 2.0, True), (0, 0, 1, "a", 3, 3.0, False), (0, 1, 0, "a", 10, 1.0, False),
+        (1, 0, 0, "c", 6, 5.0, False), (1, 0, 0, "c", 0, 0.0, False), (1, 2, 0, "a", 1, 1.0, False),
+    ]
+    df = spark.createDataFrame(rows, "rank int, step long, mb int, dataset_key string, length long, seconds double, is_replacement boolean")
+    got = metrics.interval_metrics(metrics.step_metrics(df, ["rank", "step", "mb"], ["rank", "step"]), "rank", "step", 2).orderBy("interval_no").collect()
+    first, second = (r.asDict() for r in got)
+    close = pytest.approx
+    assert first == {
+        "interval_no": 0, "interval_steps": 3, "microbatch_unique_dataset_mean": close(5 / 4), "microbatch_dominant_ratio_mean": close(3.5 / 4), "microbatch_padding_ratio_mean": close((0.25 + 0 + 0 + 0.5) / 4), "microbatch_max_duration_mean": close(11 / 4),
+        "global_step_unique_dataset_mean": close(4 / 3), "global_step_dominant_ratio_mean": close((2 / 3 + 1 + 1) / 3), "global_step_padding_ratio_mean": close((1 - 9 / 11 + 0 + 0.5) / 3), "global_step_cost_mean": close((11 + 10 + 12) / 3), "global_step_cost_max": 12.0,
+        "global_step_max_duration_mean": close(9 / 3), "replacement_rate": close(1 / 6), "rank_cost_mean": close((10.5 + 12) / 2), "rank_cost_std": close(0.75), "rank_cost_max": 12.0,
+    }
+    assert (second["interval_steps"], second["rank_cost_mean"], second["rank_cost_std"], second["global_step_cost_max"]) == (1, 1.0, 0.0, 1.0)
+
+
+def test_number_types_that_are_unknown(spark):
+    row = spark.createDataFrame([("int3",)], "name string")
+    with pytest.raises(Exception, match="unknown number type int3"):
+        row.select(fields.resolved_dtype(F.col("name"), F.lit(False), F.lit(False))).collect()
+    with pytest.raises(Exception, match="unknown number type int3"):
+        row.select(fields.mixed_precision_dtype(F.col("name"), F.lit(True), F.lit(False))).collect()
+    assert row.select(fields.mixed_precision_dtype(F.col("name"), F.lit(False), F.lit(False))).collect()[0][0] is None
+
+
+def test_blank_keys_take_the_files(spark):
+    assert column(spark, fields.dataset_key, [" A_en\u3000", "\u00a0", "", None], "string") == ["a_en", None, None, None]

@@ -93,3 +93,10 @@ def test_composer_conserves_samples(rows, seed):
 def test_composer_rejects_partial_batches():
     with pytest.raises(ValueError):
         batching.compose([batching.Sample(1, "a", 0, 0)], 2, 9, 1)
+
+
+def test_cap_scales_the_targets_of_a_rank():
+    steps, per_rank, total = budget.mix_budget([228, 47, 198, 163], 4, 2, 2, most=354)
+    # 114, 23, 99, 81 scaled by 177 / 317 and cut to whole numbers are 63, 12, 55, 45: 175 rows, 21 steps of 8
+    assert (steps, total) == (21, 168) and sum(per_rank) == 168
+    assert budget.mix_budget([40, 41], 4, 2, 1, most=10_000) == budget.mix_budget([40, 41], 4, 2, 1)
