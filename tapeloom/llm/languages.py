@@ -3,7 +3,9 @@
 Each language has a unigram distribution over the pieces of a fixed public vocabulary, fitted by expectation
 maximisation on a bounded sample of labelled documents. A forward algorithm sums over all segmentations of a word (or
 run of Chinese characters) into pieces, so its score depends on no single tokenisation. Whole texts are cut into
-stretches by the best path over the languages with a cost for each change.
+stretches by the best path over the languages with a cost for each change. A stretch's confidence is the probability, by
+a logistic model fitted to held-out sentences with and without their own language among the candidates, that its language
+is the right one; so text in a language that none of the distributions knows gets a low one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -34,12 +36,16 @@ LABELS = {
 }
 NO_LABEL = "und unk unknown undetermined na n/a none null nil nan mul mis zxx xx other tbd"
 HAN = "㐀-䶿一-鿿"
-UNIT = re.compile(rf"(?P<mark>(?:^|(?<=\n))[ \t]*\w{{1,12}}:(?=\s))|(?P<han>[{HAN}]+)|(?P<word>[^\W\d_{HAN}]+['’]?)|(?P<number>\d+)")
+MARK = re.compile(r"(?:^|(?<=\n))[ \t]*\w{1,12}:(?=\s)")
+UNIT = re.compile(rf"[{HAN}]+|[^\W\d_{HAN}]+['’]?|\d+")
 SENTENCE = re.compile(r"[.!?。！？\n]+")
 #: Documents per language in the sample that the distributions are fitted to.
 SAMPLE_DOCS = 300
+HELD = 5
 #: Cost of a change of language, and the most that one word (or two Chinese characters) can say for a language.
 CHANGE, MOST = 10.0, 6.0
+#: Words of a long sentence.
+SENTENCE_WORDS = 30
 #: Words, or Chinese characters, that make a stretch.
 WORDS, CHARS = 6, 12
 
@@ -61,6 +67,7 @@ class Unigrams:
     table: dict[str, np.ndarray]
     byte: list[np.ndarray]
     starts: frozenset[str]  # all beginnings of pieces, to end a look-up early
+    trust: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0.5, 0.5, 0.3]))  # of 1 and `evidence`
 
     def char(self, c: str) -> np.ndarray:
         """Probabilities of a character with no piece of its own: the product over its bytes."""
@@ -99,18 +106,24 @@ class BatchScores:
     def __init__(self, model: Unigrams):
         self.model = model
         self.number = {piece: i for i, piece in enumerate(model.table)}
-        self.rows = np.array(list(model.table.values()))
+        # a column more: the uniform distribution, against which a language's fit is measured
+        self.flat = 1.0 / (len(model.table) + 256)
+        self.rows = np.column_stack([np.array(list(model.table.values())), np.full(len(model.table), self.flat)])
         self.chars: dict[str, int] = {}
 
     def _char(self, c: str) -> int:
         """Row of a character with no piece of its own."""
         if (at := self.chars.get(c)) is None:
             at = self.chars[c] = len(self.rows)
-            self.rows = np.vstack([self.rows, self.model.char(c)])
+            self.rows = np.vstack([self.rows, np.append(self.model.char(c), self.flat ** len(c.encode("utf-8", "replace")))])
         return at
 
     def score(self, units: list[tuple[str, bool]]) -> np.ndarray:
-        out = np.zeros((len(units), len(LANGUAGES)))
+        return self.with_flat(units)[:, :-1]
+
+    def with_flat(self, units: list[tuple[str, bool]]) -> np.ndarray:
+        """`score`, and in the last column that of the uniform distribution."""
+        out = np.zeros((len(units), len(LANGUAGES) + 1))
         order = sorted(range(len(units)), key=lambda i: len(units[i][0]))
         for k in range(0, len(order), 2000):
             part = order[k : k + 2000]
@@ -139,7 +152,7 @@ class BatchScores:
                         break
                     part = unit[i:end]
                     p = get(part)
-        alpha = np.zeros((len(units), longest + 1, len(LANGUAGES)))
+        alpha = np.zeros((len(units), longest + 1, len(LANGUAGES) + 1))
         alpha[:, 0] = 1.0
         log = np.zeros(len(units))
         for i, (whose, ends, rows) in enumerate(steps):
@@ -154,11 +167,18 @@ class BatchScores:
         return np.log(np.maximum(last, 1e-300)) + log[:, None]
 
 
-def units_of(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, lower-case unit) of a text's words, Chinese runs and numbers; speaker marks are left out."""
-    for m in UNIT.finditer(text):
-        if m.lastgroup != "mark":
-            yield m.start(), m.end(), m.lastgroup, m.group().lower()
+def unmarked(text: str) -> str:
+    """`text` with blanks for its speaker marks."""
+    return MARK.sub(lambda m: " " * len(m.group()), text) if ":" in text else text
+
+
+def is_han(unit: str) -> bool:
+    return "㐀" <= unit[0] <= "䶿" or "一" <= unit[0] <= "鿿"
+
+
+def units_of(text: str) -> list[tuple[str, bool]]:
+    """A text's words and Chinese runs in lower case, and whether they are Chinese; no numbers and speaker marks."""
+    return [(u.lower(), is_han(u)) for u in UNIT.findall(unmarked(text)) if not u.isdecimal()]
 
 
 def _expected(table: dict[str, float], byte: list[float], starts: frozenset[str], unit: str, times: float, into: dict) -> None:
@@ -232,15 +252,17 @@ def _estimate(model: Unigrams, counts: list[Counter], strength: float = 1000.0)
 def fit(texts: Iterable[tuple[str, str]], pieces: Iterable[str], rounds: int = 2) -> Unigrams:
     """Distributions fitted to (language, text) pairs, of which some may be labelled wrong or be mixed.
 
-    A first fit uses all sentences; a second one those that the first gives the language of their label.
+    A first fit uses all sentences but every `HELD`th; a second one those of them that the first gives the language of
+    their label. The sentences held out serve the model of confidence.
     """
     sentences = []
     for lang, text in texts:
         if lang in LANGUAGES:
             for part in SENTENCE.split(text or ""):
-                if units := [(u, kind == "han") for _, _, kind, u in units_of(part) if kind != "number"]:
+                if units := units_of(part):
                     sentences.append((LANGUAGES.index(lang), units))
     model = _uniform(pieces)
+    held, sentences = sentences[::HELD], [x for i, x in enumerate(sentences) if i % HELD] or sentences
     for again in (False, True):
         if again:
             scorer = Scorer(model)
@@ -251,7 +273,45 @@ def fit(texts: Iterable[tuple[str, str]], pieces: Iterable[str], rounds: int = 2
             counts[at].update(units)
         for _ in range(1 if again else rounds):
             model = _estimate(model, counts)
-    return model
+    return _trusted(model, held)
+
+
+def evidence(total: np.ndarray, at: int, others: np.ndarray) -> tuple[float, float, float]:
+    """What confidence rests on: fit per word against the uniform distribution, lead over other languages, log size.
+
+    `total` is a sum of rows of `Scorer.table`, `others` has the totals of the other languages.
+    """
+    words = max(1.0, total[-2] + total[-1] / 2)
+    size = min(words, SENTENCE_WORDS)  # a longer text isn't surer than a long sentence, on which the weights rest
+    return (total[-3] + total[at]) / words, (total[at] - others.max()) / words * math.sqrt(size), math.log(size)
+
+
+def _trusted(model: Unigrams, held: list[tuple[int, list[tuple[str, bool]]]]) -> Unigrams:
+    """`model` with its logistic model of confidence, fitted to sentences that took no part in the distributions.
+
+    Each sentence counts twice: as it is, where its label should win, and without its own language, where whatever wins is
+    wrong; and so do its first words.
+    """
+    scorer = Scorer(model)
+    scorer.learn(u for _, units in held for u in units)
+    rows, right = [], []
+    for at, units in held:
+        for part in (units, units[:3]):
+            total = sum((scorer.row(*u) for u in part), np.zeros(scorer.table.shape[1]))
+            said = total[: len(LANGUAGES)]
+            if part and said.argmax() == at:
+                rest = np.delete(said, at)
+                wrong = int(np.where(np.arange(len(said)) == at, -np.inf, said).argmax())
+                rows += [evidence(total, at, rest), evidence(total, wrong, np.delete(said, [at, wrong]))]
+                right += [1.0, 0.0]
+    if not rows:
+        return model
+    x, y = np.column_stack([np.ones(len(rows)), np.array(rows)]), np.array(right)
+    w = np.zeros(x.shape[1])
+    for _ in range(25):  # Newton's method with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
+    return replace(model, trust=w)
 
 
 class Scorer:
@@ -259,10 +319,13 @@ class Scorer:
 
     def __init__(self, model: Unigrams, keep: int = 300_000):
         self.batch, self.keep = BatchScores(model), keep
-        # A row per unit: its scores, the words and the Chinese characters it counts for. Row 0 is that of any number.
-        self.table = np.zeros((1 << 12, len(LANGUAGES) + 2))
+        # A row per unit: its scores relative to the best language, the best one's lead over the uniform distribution, the
+        # words and the Chinese characters it counts for. Row 0 is that of any number.
+        self.trust = model.trust.tolist()
+        self.table = np.zeros((1 << 12, len(LANGUAGES) + 3))
         self.table[0, -2] = 1
         self.known: dict[str, int] = {}
+        self.written: dict[str, int] = {}  # rows by unit as it is written
         self.passing: dict[str, int] = {}  # long runs, whose rows are kept for the texts at hand only
 
     def learn(self, units: Iterable[tuple[str, bool]]) -> None:
@@ -270,29 +333,36 @@ class Scorer:
         self.passing.clear()
         if len(self.known) > self.keep:
             self.known.clear()
+            self.written.clear()
         new = [u for u in dict.fromkeys(units) if u[0] not in self.known]
         if not new:
             return
         new.sort(key=lambda u: u[1] and len(u[0]) > 12)  # the long runs last
-        scores = self.batch.score(new)
-        scores -= scores.max(axis=1, keepdims=True)
+        scores = self.batch.with_flat(new)
+        top, flat = scores[:, :-1].max(axis=1), scores[:, -1]
+        scores = scores[:, :-1] - top[:, None]
         most = [MOST * (max(1.0, len(u) / 2) if han else 1.0) for u, han in new]
         first = len(self.known) + 1
         if first + len(new) > len(self.table):
             self.table = np.vstack([self.table, np.zeros((first + len(new), self.table.shape[1]))])
         rows = self.table[first : first + len(new)]
-        rows[:, :-2] = np.maximum(scores, -np.array(most)[:, None])
+        rows[:, :-3] = np.maximum(scores, -np.array(most)[:, None])
+        rows[:, -3] = np.clip(top - flat, -np.array(most), 2 * np.array(most))
         rows[:, -2] = [not han and u[-1] not in "'’" for u, han in new]
         rows[:, -1] = [len(u) if han else 0 for u, han in new]
         for at, (unit, han) in enumerate(new, first):
             (self.passing if han and len(unit) > 12 else self.known)[unit] = at
 
-    def unit(self, unit: str, han: bool) -> np.ndarray:
-        """Scores of a unit."""
+    def row(self, unit: str, han: bool) -> np.ndarray:
+        """The row of a unit."""
         if (at := self.known.get(unit)) is None and (at := self.passing.get(unit)) is None:
             self.learn([(unit, han)])
-            return self.unit(unit, han)
-        return self.table[at, :-2]
+            return self.row(unit, han)
+        return self.table[at]
+
+    def unit(self, unit: str, han: bool) -> np.ndarray:
+        """Scores of a unit."""
+        return self.row(unit, han)[: len(LANGUAGES)]
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The language of each unit on the best path."""
@@ -320,29 +390,44 @@ class Scorer:
     def all_stretches(self, texts: list[str | None], together: int = 200) -> Iterator[list]:
         """`stretches` of each text, the units of `together` texts being scored at once."""
         for k in range(0, len(texts), together):
-            found = [[m for m in UNIT.finditer(t) if m.lastgroup != "mark"] if t else [] for t in texts[k : k + together]]
-            units = [[(m.group().lower(), m.lastgroup == "han") for m in own if m.lastgroup != "number"] for own in found]
-            self.learn(u for own in units for u in own)
-            for own, said in zip(found, units):
-                rows = iter([self.known.get(u) or self.passing[u] for u, _ in said])
-                yield self._stretches(own, np.array([0 if m.lastgroup == "number" else next(rows) for m in own])) if said else []
+            plain = [unmarked(t) if t else "" for t in texts[k : k + together]]
+            said = [UNIT.findall(t) for t in plain]
+            if max(len(self.known), len(self.written) // 2) > self.keep:
+                self.known.clear()
+                self.written.clear()
+            new = dict.fromkeys(u for own in said for u in own if u not in self.written)
+            self.learn((u.lower(), is_han(u)) for u in new if not u.isdecimal())
+            for u in new:
+                low = u.lower()
+                self.written[u] = 0 if u.isdecimal() else self.known.get(low) or self.passing[low]
+            for text, own in zip(plain, said):
+                rows = np.array([self.written[u] for u in own], dtype=int)
+                yield self._stretches(text, own, rows) if rows.any() else []
+            for u in new:  # what was learned for these texts only
+                if u.lower() in self.passing:
+                    del self.written[u]
 
     def stretches(self, text: str | None) -> list[tuple[int, int, str, float, int, bool]]:
         """(start, end, language, confidence, words or Chinese characters, long enough) of each stretch, in order."""
         return next(self.all_stretches([text]))
 
-    def _stretches(self, units: list[re.Match], rows: np.ndarray) -> list[tuple[int, int, str, float, int, bool]]:
+    def _stretches(self, text: str, units: list[str], rows: np.ndarray) -> list[tuple[int, int, str, float, int, bool]]:
         values = self.table[rows]
-        states = self.path(values[:, :-2])
+        states = self.path(values[:, : len(LANGUAGES)])
         cuts = [0, *(np.flatnonzero(np.diff(states)) + 1).tolist(), len(units)]
+        if len(cuts) > 2:
+            spans = [m.span() for m in UNIT.finditer(text)]
+        else:  # no letter or digit follows the last unit
+            end = text.rfind(units[-1]) + len(units[-1])
+            spans = {len(units) - 1: (0, end), 0: (UNIT.search(text).start(), end)}
         out = []
         for a, b in zip(cuts, cuts[1:]):
             at = int(states[a])
             total = values[a:b].sum(axis=0)
             size, least = (int(total[-1]), CHARS) if LANGUAGES[at] == "zh" else (int(total[-2]), WORDS)
-            s = total[:-2] / math.sqrt(b - a)
-            share = np.exp(s - s.max())
-            out.append((units[a].start(), units[b - 1].end(), LANGUAGES[at], float(share[at] / share.sum()), size, size >= least))
+            fit, lead, words = evidence(total, at, np.delete(total[: len(LANGUAGES)], at))
+            z = self.trust[0] + self.trust[1] * fit + self.trust[2] * lead + self.trust[3] * words
+            out.append((spans[a][0], spans[b - 1][1], LANGUAGES[at], 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), size, size >= least))
         return out
 
 

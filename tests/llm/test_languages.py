@@ -79,3 +79,12 @@ def test_found(spark):
     docs = {r["doc_id"]: r for r in languages.by_document(marked, "doc_id").collect()}
     assert len(docs) == len(rows) and docs[5]["lang_code"] is None and docs[5]["confidence"] == 0.0 and docs[4]["n_languages"] == 2
     assert languages.stretches(df.limit(0), "doc_id", "text", model).count() == 0
+
+
+def test_confidence_is_low_for_unknown_languages(spark, data):
+    model = languages.fit_on(spark.read.parquet(f"{data}/documents.parquet"), "text", "lang", "doc_id")
+    scorer = languages.Scorer(model)
+    for lang in ("en", "de", "zh"):
+        assert scorer.stretches(TEXTS[lang] * 200)[0][2] == lang and scorer.stretches(TEXTS[lang] * 200)[0][3] > 0.5
+    unknown = ["Поезд отправляется завтра утром в девять часов", "asdf jkl qwer zxcv uiop hjkl fghj dfgh", "これはにほんごのぶんしょうです", "Pociąg odjeżdża jutro o dziewiątej rano"]
+    assert max(s[3] for text in unknown for s in scorer.stretches(text)) < 0.5
