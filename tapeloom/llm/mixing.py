@@ -2,8 +2,9 @@
 
 Weights are propagated through a domain - language - source tree; a source that can't fill its share passes the shortage
 to its siblings, and only a whole group that is full passes it on to the groups beside it. Each source's records are
-then taken as a prefix of seeded epochs: full epochs give each record once, the last one a prefix of a seeded order.
-The unit of size is the record (each of weight one).
+then taken as a prefix of seeded epochs: full epochs give each record once, the last one a prefix of a seeded order, up to
+the source's share by cumulative size. Sizes are those of a column, such as a number of tokens; without one each record
+counts as 1.
 """
 
 from __future__ import annotations
@@ -94,57 +95,67 @@ def sources(specs: DataFrame) -> DataFrame:
     return merged.withColumn("language", F.when(suffix != "", suffix).otherwise(MIXED))
 
 
-def keyed(records: DataFrame, specs: DataFrame) -> DataFrame:
-    """(row_id, source): each record's own dataset key or, if that is null or blank, its file's."""
+def keyed(records: DataFrame, specs: DataFrame, size: str | None = None) -> DataFrame:
+    """(row_id, source, amount): each record's own dataset key or, if that is null or blank, its file's, and its size.
+
+    Null and negative sizes count as 0; without a `size` column each record has size 1.
+    """
     files = specs.select(F.col("train_path").alias("source_path"), source_key(F.col("dataset_key")).alias("_file_key")).dropDuplicates(["source_path"])
-    own = records.select("row_id", "source_path", source_key(F.col("dataset_key")).alias("_own"))
-    return own.join(files, "source_path", "left").select("row_id", F.coalesce("_own", "_file_key").alias("source")).filter("source is not null")
+    amount = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)) if size else F.lit(1)
+    own = records.select("row_id", "source_path", source_key(F.col("dataset_key")).alias("_own"), amount.cast("long").alias("amount"))
+    return own.join(files, "source_path", "left").select("row_id", F.coalesce("_own", "_file_key").alias("source"), "amount").filter("source is not null")
 
 
-def budgets(records: DataFrame, specs: DataFrame, plans: DataFrame) -> DataFrame:
+def budgets(records: DataFrame, specs: DataFrame, plans: DataFrame, size: str | None = None) -> DataFrame:
     """One row per plan and usable source: target and actual size and share, and repeats.
 
-    Works on the driver with one row per source and plan. Total size of a plan: size_factor times the declared counts
-    of all usable sources; a source's room: max_repeats times its records that are really there. `repeats` is the most
-    times one of its records occurs. Shares are of the plan's total; with nothing to mix they are 0.
+    Works on the driver with one row per source and plan. A source's declared size is its declared count times the mean
+    size of its records (of all records where it has none); the total size of a plan is size_factor times the declared
+    sizes of all usable sources; a source's room is max_repeats times the size that is really there (`available`).
+    `repeats` is the most times one of its records occurs. Shares are of the plan's total; with nothing to mix they are 0.
     """
     spark = records.sparkSession
-    there = keyed(records, specs).groupBy("source").agg(F.count("*").alias("records"))
-    rows = sources(specs).filter("weight > 0 and declared > 0").join(there, "source", "left").fillna(0, ["records"]).orderBy("source").collect()
-    total_weight = sum(r["weight"] * r["declared"] for r in rows)
+    there = keyed(records, specs, size).groupBy("source").agg(F.count("*").alias("records"), F.sum("amount").alias("available"))
+    rows = sources(specs).filter("weight > 0 and declared > 0").join(there, "source", "left").fillna(0, ["records", "available"]).orderBy("source").collect()
+    mean = sum(r["available"] for r in rows) / max(1, sum(r["records"] for r in rows))
+    declared = [round(r["declared"] * (r["available"] / r["records"] if r["records"] else mean)) if size else r["declared"] for r in rows]
+    wanted = [r["weight"] * d for r, d in zip(rows, declared)]
+    total_weight = sum(wanted) or 1.0
     out = []
     for plan in plans.orderBy("plan_name").collect():
-        size = round((plan["size_factor"] or 0.0) * sum(r["declared"] for r in rows))
+        whole = round((plan["size_factor"] or 0.0) * sum(declared))
         most = max(0, plan["max_repeats"] or 0)
-        leaves = [((r["domain"], r["language"], r["source"]), r["weight"] * r["declared"], most * r["records"]) for r in rows]
-        sizes = allocate(tree(leaves), min(size, sum(room for *_, room in leaves))) if rows else {}
+        leaves = [((r["domain"], r["language"], r["source"]), w, most * r["available"]) for r, w in zip(rows, wanted)]
+        sizes = allocate(tree(leaves), min(whole, sum(room for *_, room in leaves))) if rows else {}
         given = sum(sizes.values())
-        for r in rows:
+        for r, w in zip(rows, wanted):
             own = sizes[r["domain"], r["language"], r["source"]]
-            share = r["weight"] * r["declared"] / total_weight
-            out.append((plan["plan_name"], r["source"], r["domain"], r["language"], float(r["weight"]), int(r["declared"]), int(r["records"]), share, round(share * size), own, math.ceil(own / r["records"]) if r["records"] else 0, own / given if given else 0.0))
-    schema = "plan_name string, source string, domain string, language string, weight double, declared long, records long, target_share double, target_size long, size long, repeats long, actual_share double"
+            share = w / total_weight
+            repeats = math.ceil(own / r["available"]) if r["available"] else 0
+            out.append((plan["plan_name"], r["source"], r["domain"], r["language"], float(r["weight"]), int(r["declared"]), int(r["records"]), int(r["available"]), share, round(share * whole), own, repeats, own / given if given else 0.0))
+    schema = "plan_name string, source string, domain string, language string, weight double, declared long, records long, available long, target_share double, target_size long, size long, repeats long, actual_share double"
     return spark.createDataFrame(out, schema)
 
 
-def selection(records: DataFrame, specs: DataFrame, plans: DataFrame, seed: int = 1) -> DataFrame:
+def selection(records: DataFrame, specs: DataFrame, plans: DataFrame, seed: int = 1, size: str | None = None) -> DataFrame:
     """(plan_name, row_id, source, times) of each record that is taken, with how often.
 
     The order of a partial epoch is a hash of seed, epoch and row_id, cut into about sqrt(n) slices per source: slices
-    before the boundary are taken whole by their counts, and only the boundary slice is ranked, so no task ever sees
-    a whole source. Row ids must be unique; duplicates would each count.
+    before the boundary are taken whole by their sizes, and only the boundary slice is ordered, so no task ever sees
+    a whole source. The records before the first that would exceed the source's size are taken. Row ids must be unique;
+    duplicates would each count.
     """
-    plan = budgets(records, specs, plans).filter("size > 0")
-    params = plan.select("plan_name", "source", F.expr("size div records").alias("_full"), F.expr("size % records").alias("_rest"), F.ceil(F.sqrt("records")).cast("long").alias("_slices"))
-    base = keyed(records, specs).join(F.broadcast(params), "source")
+    plan = budgets(records, specs, plans, size).filter("size > 0")
+    params = plan.select("plan_name", "source", F.expr("size div available").alias("_full"), F.expr("size % available").alias("_rest"), F.ceil(F.sqrt("records")).cast("long").alias("_slices"))
+    base = keyed(records, specs, size).join(F.broadcast(params), "source")
     base = base.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_full"), F.col("row_id"))).withColumn("_slice", F.pmod("_h", "_slices"))
-    counts = base.filter("_rest > 0").groupBy("plan_name", "source", "_slice").agg(F.count("*").alias("_n"), F.first("_rest").alias("_rest"))
+    counts = base.filter("_rest > 0").groupBy("plan_name", "source", "_slice").agg(F.sum("amount").alias("_n"), F.first("_rest").alias("_rest"))
     through = F.sum("_n").over(Window.partitionBy("plan_name", "source").orderBy("_slice"))
     edge = counts.withColumn("_through", through).filter("_through >= _rest and _through - _n < _rest")
     edge = edge.select("plan_name", "source", F.col("_slice").alias("_edge"), (F.col("_rest") - F.col("_through") + F.col("_n")).alias("_of_edge"))
     placed = base.join(F.broadcast(edge), ["plan_name", "source"], "left")
     away = placed.filter("_edge is null or _slice != _edge").withColumn("times", F.col("_full") + F.coalesce((F.col("_slice") < F.col("_edge")).cast("long"), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("plan_name", "source").orderBy("_h", "row_id"))
-    at = placed.filter("_slice = _edge").withColumn("times", F.col("_full") + (rank <= F.col("_of_edge")).cast("long"))
+    reached = F.sum("amount").over(Window.partitionBy("plan_name", "source").orderBy("_h", "row_id").rowsBetween(Window.unboundedPreceding, 0))
+    at = placed.filter("_slice = _edge").withColumn("times", F.col("_full") + (reached <= F.col("_of_edge")).cast("long"))
     columns = ["plan_name", "row_id", "source", "times"]
     return away.select(columns).unionByName(at.select(columns)).filter("times > 0")

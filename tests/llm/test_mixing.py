@@ -60,3 +60,23 @@ def test_repeatable_and_empty(spark):
     assert mixing.selection(records.limit(0), specs, plans).count() == 0
     assert mixing.budgets(records, specs.limit(0), plans).count() == 0
     assert mixing.budgets(records, specs, plans.limit(0)).count() == 0
+
+
+def test_prefix_by_size(spark):
+    records, specs, plans = tables(spark)
+    sized = records.selectExpr("*", "case when row_id % 11 = 0 then null when row_id % 13 = 0 then -5 else row_id % 7 end as n_tokens")
+    real = {r["row_id"]: max(0, r["n_tokens"] or 0) for r in sized.collect()}
+    report = {(r["plan_name"], r["source"]): r for r in mixing.budgets(sized, specs, plans, "n_tokens").collect()}
+    sizes, times = Counter(), {}
+    for r in mixing.selection(sized, specs, plans, size="n_tokens").collect():
+        sizes[r["plan_name"], r["source"]] += r["times"] * real[r["row_id"]]
+        times.setdefault((r["plan_name"], r["source"]), []).append(r["times"])
+    for key, r in report.items():
+        assert r["size"] - 6 < sizes[key] + (not r["size"]) and sizes[key] <= r["size"]  # less than one record below
+        assert max(times.get(key, [0])) <= max(1, r["repeats"]) and r["size"] <= 8 * r["available"]
+    assert sum(r["size"] for (p, _), r in report.items() if p == "small") == round(0.5 * sum(round(r["declared"] * r["available"] / r["records"]) if r["records"] else round(r["declared"] * mean(report)) for (p, _), r in report.items() if p == "small"))
+
+
+def mean(report):
+    rows = [r for (p, _), r in report.items() if p == "small"]
+    return sum(r["available"] for r in rows) / sum(r["records"] for r in rows)
