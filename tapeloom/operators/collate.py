@@ -27,6 +27,23 @@ def collated(rows: DataFrame, batch: str, ids: str, labels: str, pad_id: int, la
     return sized.withColumn("input_ids", padded(own, w, pad_id)).withColumn("attention_mask", padded(ones(F.size(own)), w, 0)).withColumn("label_ids", padded(marks, w, label_pad))
 
 
+def padded_features(matrix: Column, width: Column) -> Column:
+    """A matrix of feature rows, each filled with zeros to `width` frames; null stays null."""
+    return F.transform(matrix, lambda row: F.concat(row, F.array_repeat(F.lit(0.0), F.greatest(width - F.size(row), F.lit(0)))))
+
+
+def collated_features(rows: DataFrame, batch: str, features: str) -> DataFrame:
+    """`rows` with input_features padded to the most frames of the batch, feature_length and feature_attention_mask.
+
+    All rows of a matrix have the same number of frames; a null or empty matrix has none and comes out as it is.
+    """
+    frames = F.coalesce(F.size(F.try_element_at(features, F.lit(1))), F.lit(0))
+    own = rows.withColumn("feature_length", F.greatest(frames, F.lit(0)).cast("long"))
+    own = own.withColumn("_width", F.max("feature_length").over(Window.partitionBy(batch)).cast("int"))
+    mask = padded(ones(F.col("feature_length").cast("int")), F.col("_width"), 0)
+    return own.withColumn("input_features", padded_features(F.col(features), F.col("_width"))).withColumn("feature_attention_mask", mask).drop("_width")
+
+
 def kept(ids: Column, mask: Column) -> Column:
     """The ids at which the mask is set, wherever they are."""
     pairs = F.arrays_zip(ids.alias("i"), mask.alias("m"))

@@ -98,6 +98,18 @@ def collate_pad(spark, folder):
     return collate.collated(_arrays(spark, folder), "batch", "token_ids", "labels", PAD).select("row_id", "input_ids", "attention_mask", "label_ids")
 
 
+@query(
+    f"""{ARRAYS_SQL}, f AS (SELECT row_id, list_transform(token_ids, lambda x: x / 2) AS low, list_transform(list_reverse(token_ids), lambda x: CAST(x AS DOUBLE)) AS high, len(token_ids) AS n, max(len(token_ids)) OVER (PARTITION BY batch) AS most FROM w)
+      SELECT row_id, CAST(n AS BIGINT) AS feature_length, [low || list_transform(range(most - n), lambda i: 0.0::DOUBLE), high || list_transform(range(most - n), lambda i: 0.0::DOUBLE)] AS input_features,
+      list_transform(range(most), lambda i: CAST(CASE WHEN i < n THEN 1 ELSE 0 END AS BIGINT)) AS feature_attention_mask FROM f"""
+)
+def feature_pad(spark, folder):
+    """Feature matrices of two rows, padded to the most frames of their batch."""
+    halves, mirrored = F.transform("token_ids", lambda x: x / F.lit(2.0)), F.transform(F.reverse("token_ids"), lambda x: x.cast("double"))
+    rows = _arrays(spark, folder).withColumn("features", F.array(halves, mirrored))
+    return collate.collated_features(rows, "batch", "features").select("row_id", "feature_length", "input_features", "feature_attention_mask")
+
+
 @query(f"{ARRAYS_SQL} SELECT batch, CAST(max(len(token_ids)) AS BIGINT) AS longest_ids, CAST(max(width) AS BIGINT) AS longest_labels FROM w GROUP BY batch")
 def collate_maxima(spark, folder):
     return _arrays(spark, folder).groupBy("batch").agg(F.max(F.size("token_ids")).cast("long").alias("longest_ids"), F.max(F.size("labels")).cast("long").alias("longest_labels"))

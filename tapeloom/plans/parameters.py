@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tapeloom.plans.registry import query
@@ -52,14 +53,71 @@ def layer_remap(spark, folder):
     return joined.select("name", F.when(F.col("old_layer").isNull(), F.col("name")).otherwise(moved).alias("new_name"))
 
 
+def trained_layers(config: dict, depth: int) -> list[int]:
+    """0-based decoder layers that a configuration trains: all, the 1-based list, or the last ones."""
+    if config.get("text_decoder", False):
+        return list(range(depth))
+    if (chosen := config.get("text_decoder_layer_indices")) is not None:
+        if not isinstance(chosen, (list, tuple, set)) or not chosen:
+            raise ValueError("layer indices must be a list with at least one number")
+        return picked_layers([int(x) for x in chosen], depth)
+    last = int(config.get("text_decoder_top_layers", 0) or 0)
+    if not 0 <= last <= depth:
+        raise ValueError(f"from 0 to {depth} layers can be trained, not {last}")
+    return list(range(depth - last, depth))
+
+
+def is_trained(name: Column, config: dict, depth: int, tied: bool = False) -> Column:
+    """Whether a parameter is trained; what a configuration leaves out takes the value of its larger part.
+
+    With `tied` embeddings, training the output layer trains the input embeddings.
+    """
+    flag = lambda key, default: bool(config.get(key, default))
+    audio, text = flag("audio_tower", True), flag("text_decoder", False)
+    bridge = flag("bridge", audio)
+    head = flag("lm_head", False)
+    layer = F.regexp_extract(name, r"^thinker\.model\.(?:model\.)?layers\.(\d+)(?:\.|$)", 1).try_cast("long")
+    decoder = (
+        F.when(F.lit(text) | name.contains("lora_"), True)
+        .when(layer.isNotNull(), layer.isin(trained_layers(config, depth)) if trained_layers(config, depth) else F.lit(False))
+        .when(name.rlike(r"^thinker\.model\.(model\.)?embed_tokens\."), flag("text_decoder_embeddings", text) or (tied and head))
+        .when(name.rlike(r"^thinker\.model\.(model\.)?norm\."), flag("text_decoder_norm", text))
+        .otherwise(False)
+    )
+    tower = "thinker.audio_tower."
+    return (
+        F.when(name.startswith(f"{tower}ln_post."), flag("bridge_ln_post", bridge))
+        .when(name.startswith(f"{tower}proj1."), flag("bridge_proj1", bridge))
+        .when(name.startswith(f"{tower}proj2."), flag("bridge_proj2", bridge))
+        .when(name.startswith(tower), flag("audio_encoder", audio))
+        .when(name.startswith("thinker.model."), decoder)
+        .when(name.startswith("thinker.lm_head."), head)
+        .otherwise(True)
+    )
+
+
+_CONFIGS = {
+    "default": {},
+    "adapters": {"audio_tower": False, "bridge_proj2": True, "text_decoder_top_layers": 2},
+    "parts": {"audio_encoder": False, "bridge": False, "bridge_ln_post": True, "text_decoder_layer_indices": [1, 28], "text_decoder_norm": True, "lm_head": True},
+    "text": {"audio_tower": False, "text_decoder": True},
+}
+_MORE_NAMES = ("thinker.audio_tower.ln_post.weight", "thinker.audio_tower.proj2.bias", "thinker.model.norm.weight", "thinker.model.model.layers.27.mlp.weight", "thinker.model.layers.x.bias", "thinker.model.rotary.scale", "distill.weight")
+
+
 @query(
-    f"""SELECT name, CASE WHEN contains(name, 'lora_') THEN true WHEN starts_with(name, 'audio_tower.proj') THEN true WHEN starts_with(name, 'audio_tower.') THEN false
-      WHEN starts_with(name, 'model.layers.') THEN TRY_CAST(regexp_extract(name, 'layers\\.(\\d+)\\.', 1) AS BIGINT) >= 26 WHEN starts_with(name, 'lm_head') THEN false ELSE false END AS trainable FROM ({PARAMETERS_SQL})"""
+    f"""WITH n AS (SELECT 'thinker.' || name AS name FROM ({PARAMETERS_SQL}) UNION ALL SELECT unnest({list(_MORE_NAMES)})),
+      c AS (SELECT * FROM (VALUES ('default', true, true, true, true, false, [-1], false, false), ('adapters', false, false, false, true, false, [26, 27], false, false),
+        ('parts', false, true, false, false, false, [0, 27], true, true), ('text', false, false, false, false, true, [-1], true, false)) v(config, encoder, ln_post, proj1, proj2, whole, layers, norm, head)),
+      l AS (SELECT *, TRY_CAST(regexp_extract(name, '^thinker\\.model\\.(model\\.)?layers\\.(\\d+)\\.', 2) AS INTEGER) AS layer FROM n)
+      SELECT config, name, CASE WHEN starts_with(name, 'thinker.audio_tower.ln_post') THEN ln_post WHEN starts_with(name, 'thinker.audio_tower.proj1') THEN proj1 WHEN starts_with(name, 'thinker.audio_tower.proj2') THEN proj2
+        WHEN starts_with(name, 'thinker.audio_tower.') THEN encoder WHEN starts_with(name, 'thinker.lm_head.') THEN head WHEN NOT starts_with(name, 'thinker.model.') THEN true WHEN whole OR contains(name, 'lora_') THEN true
+        WHEN layer IS NOT NULL THEN list_contains(layers, layer) WHEN name = 'thinker.model.norm.weight' THEN norm ELSE false END AS trainable FROM l, c"""
 )
 def trainability(spark, folder):
-    n = F.col("name")
-    rule = F.when(n.contains("lora_") | n.startswith("audio_tower.proj"), True).when(n.startswith("audio_tower."), False).when(n.startswith("model.layers."), layer_index(n) >= 28 - 2).otherwise(False)
-    return parameters(spark).select("name", rule.alias("trainable"))
+    names = parameters(spark).select(F.concat(F.lit("thinker."), "name").alias("name")).unionByName(spark.createDataFrame([(n,) for n in _MORE_NAMES], "name string"))
+    each = F.array(*(F.struct(F.lit(k).alias("config"), is_trained(F.col("name"), c, 28).alias("trainable")) for k, c in _CONFIGS.items()))
+    return names.select("name", F.inline(each)).select("config", "name", "trainable")
 
 
 @query(f"SELECT CAST(sum(numel) AS BIGINT) AS total, CAST(sum(CASE WHEN contains(name, 'lora_') THEN numel ELSE 0 END) AS BIGINT) AS trainable, bool_or(contains(name, 'lora_')) AS has_adapter FROM ({PARAMETERS_SQL})")

@@ -165,8 +165,7 @@ def step_totals(spark, folder):
 
 @query("SELECT path, CAST(count AS BIGINT) AS count FROM train_shards WHERE count > 0 AND path IS NOT NULL")
 def shard_list(spark, folder):
-    index = table(spark, folder, "train_shards").agg(F.collect_list(F.struct("path", "count", "selection_indices_path")).alias("train_shards"))  # the index document: one entry a file
-    return index.select(F.explode("train_shards").alias("s")).select("s.path", "s.count").filter("count > 0 and path is not null")
+    return table(spark, folder, "train_shards", "path", "count").filter("count > 0 and path is not null")
 
 
 @query("SELECT path, row_number() OVER (ORDER BY substr(sha1('42|' || '3|' || path), 1, 16), path) AS place FROM train_shards")

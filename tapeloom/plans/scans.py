@@ -16,7 +16,7 @@ from tapeloom.sources.tables import table
 GOOD_SQL = "CASE WHEN regexp_matches(raw, '^\\s*\\{') AND json_valid(raw) THEN true ELSE false END"
 LINES_SQL = f"SELECT line_id, source_path, line_no, raw, {GOOD_SQL} AS good, coalesce(regexp_matches(raw, '\\S'), false) AS said FROM shard_lines"
 ORDINALS_SQL = f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY line_no) - 1 AS ordinal FROM ({LINES_SQL}) WHERE said)"
-RECORD = "utt_id string, text string, lang string, dataset_key string, duration_sec string, duration string"
+RECORD = "utt_id string, text string, lang string, dataset_key string, duration_sec string, duration string, audio_duration_sec string, wav_duration string, token_len string, token_ids array<string>"
 
 
 def _lines(spark, folder):
@@ -66,18 +66,21 @@ def read_at_offset(spark, folder):
     return offsets.join(wanted, ["source_path", "byte_offset"]).select("line_id", "raw")
 
 
-_LEN = "CASE WHEN {0} > 0 AND isfinite({0}) THEN {0} END"
+_TRIED_SQL = ", ".join(
+    f"CASE WHEN regexp_full_match(trim(raw ->> '$.{name}'), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') AND TRY_CAST(trim(raw ->> '$.{name}') AS DOUBLE) > 0 AND isfinite(TRY_CAST(trim(raw ->> '$.{name}') AS DOUBLE)) THEN TRY_CAST(trim(raw ->> '$.{name}') AS DOUBLE) END"
+    for name in ("duration_sec", "duration", "audio_duration_sec", "wav_duration")
+)
 
 
 @query(
-    f"""SELECT line_id, CAST(trunc(coalesce({_LEN.format("TRY_CAST(a AS DOUBLE)")}, {_LEN.format("TRY_CAST(b AS DOUBLE)")}, 0)) AS BIGINT) AS length
-      FROM (SELECT line_id, CASE WHEN good AND regexp_full_match(trim(raw ->> '$.duration_sec'), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN trim(raw ->> '$.duration_sec') END AS a,
-        CASE WHEN good AND regexp_full_match(trim(raw ->> '$.duration'), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN trim(raw ->> '$.duration') END AS b FROM ({LINES_SQL}) WHERE said)"""
+    f"""SELECT line_id, CASE WHEN good THEN CAST(trunc(coalesce({_TRIED_SQL}, CASE WHEN TRY_CAST(raw ->> '$.token_len' AS BIGINT) > 0 THEN TRY_CAST(raw ->> '$.token_len' AS BIGINT) END,
+      CASE WHEN json_type(raw, '$.token_ids') = 'ARRAY' THEN json_array_length(raw, '$.token_ids') END, 0)) AS BIGINT) ELSE 0 END AS length FROM ({LINES_SQL}) WHERE said"""
 )
 def line_lengths(spark, folder):
+    """A line's duration under any of its names, else its number of tokens; 0 where nothing says a length."""
     rows = _said(spark, folder).select("line_id", jsonl.json_object(F.col("raw"), RECORD).alias("r"))
-    seconds = fields.first_duration([F.col("r.duration_sec"), F.col("r.duration")])
-    return rows.select("line_id", F.coalesce(seconds, F.lit(0.0)).cast("long").alias("length"))
+    seconds = fields.first_duration([F.col(f"r.{name}") for name in fields.DURATION_FIELDS])
+    return rows.select("line_id", fields.length_proxy(seconds, F.col("r.token_len"), F.col("r.token_ids")).cast("long").alias("length"))
 
 
 @query(f"SELECT s.dataset_key, count(*) AS n, count(DISTINCT m.source_path) AS files FROM manifest m JOIN dataset_specs s ON m.source_path = s.train_path WHERE s.{USED.replace('isnan(weight)', 'isnan(s.weight)').replace('AND count', 'AND s.count')} GROUP BY 1")

@@ -271,8 +271,14 @@ def stale_locks(spark, folder):
     return locks.select("event_id", F.when(F.col("pid").isNotNull() & F.col("alive"), "kept").when(F.col("pid").isNotNull() | (F.col("age") >= 600), "stale").otherwise("kept").alias("lock_state"))
 
 
-@query("SELECT suite, substr(sha1(string_agg(item_id || ':' || text, chr(0) ORDER BY item_id)), 1, 16) AS fingerprint FROM eval_items GROUP BY suite")
+@query(
+    """SELECT suite, substr(sha1('base-tokenizer' || coalesce(string_agg(item_id || text, '' ORDER BY item_id), '')), 1, 16) AS fingerprint
+      FROM (SELECT suite, CAST(item_id AS VARCHAR) AS item_id, text FROM eval_items UNION ALL SELECT 'no files', NULL, NULL) GROUP BY suite"""
+)
 def ordered_fingerprint(spark, folder):
-    parts = F.array_sort(F.collect_list(F.struct("item_id", F.concat(F.col("item_id").cast("string"), F.lit(":"), F.col("text")).alias("part"))))  # the held-out items: a fixed, small table
-    joined = F.array_join(F.transform(parts, lambda p: p["part"]), "\0")
-    return table(spark, folder, "eval_items").groupBy("suite").agg(F.substring(F.sha1(joined), 1, 16).alias("fingerprint"))
+    """A fingerprint over a fallback name and the names and contents of files in order of name; without files of the fallback."""
+    none = spark.createDataFrame([("no files", None, None)], "suite string, item_id string, text string")
+    items = table(spark, folder, "eval_items", "suite", F.col("item_id").cast("string").alias("item_id"), "text").unionByName(none)
+    parts = F.array_sort(F.collect_list(F.when(F.col("item_id").isNotNull(), F.struct("item_id", "text"))))  # the held-out items: a fixed, small table
+    joined = F.array_join(F.transform(parts, lambda p: F.concat(p["item_id"], F.coalesce(p["text"], F.lit("")))), "")
+    return items.groupBy("suite").agg(F.substring(F.sha1(F.concat(F.lit("base-tokenizer"), joined)), 1, 16).alias("fingerprint"))

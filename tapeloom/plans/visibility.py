@@ -87,7 +87,6 @@ def region_modes(spark, folder):
 )
 def placeholder_scatter(spark, folder):
     rows = table(spark, folder, "manifest", "row_id", "token_ids").filter("token_ids is not null")
-    places = rows.select("row_id", F.posexplode("token_ids").alias("position", "token")).filter("token % 3 = 0")
-    places = places.withColumn("k", F.row_number().over(Window.partitionBy("row_id").orderBy("position")))
-    features = rows.select("row_id", F.posexplode(F.reverse("token_ids")).alias("k0", "feature")).withColumn("k", F.col("k0") + 1)
-    return places.join(features, ["row_id", "k"]).select("row_id", F.col("position").cast("long").alias("position"), "feature")
+    places = F.filter(F.transform("token_ids", lambda token, i: F.when(token % 3 == 0, i.cast("long"))), lambda i: i.isNotNull())
+    pairs = F.arrays_zip(F.col("places").alias("position"), F.slice(F.reverse("token_ids"), F.lit(1), F.size("places")).alias("feature"))
+    return rows.withColumn("places", places).select("row_id", F.inline(pairs).alias("position", "feature"))

@@ -2,71 +2,89 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
+from tapeloom.functions.fields import strip
+
+#: Bytes read at a time when a line is looked up.
+CHUNK = 1 << 16
 OFFSETS_SCHEMA = "source_path string, line_no long, byte_offset long, raw string"
 # Reasons in the reject column.
 BLANK, MALFORMED, NOT_OBJECT = "blank", "malformed_json", "not_an_object"
 _PARSE = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class _OffsetsReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[_File]:
-        found = sorted(glob.glob(f"{self.path}/**/*.jsonl", recursive=True)) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(p) for p in found] or [_File("")]
+def _files_at(spark: SparkSession, path: str) -> str | None:
+    """'folder' or 'files' for what stands at a path or glob of any Hadoop file system; None where nothing does."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        return None
+    return "folder" if any(f.isDirectory() for f in found) else "files"
 
-    def read(self, partition: _File) -> Iterator[tuple[str, int, int, str]]:
-        if not partition.path:
-            return
-        offset = 0
-        with open(partition.path, "rb") as lines:
-            for number, line in enumerate(lines, 1):
-                if text := line.decode("utf-8", "replace").strip():
-                    yield partition.path, number, offset, text
-                offset += len(line)
 
+def read_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, line_no, byte_offset, raw) of the non-blank lines of a file, a glob or all *.jsonl below a folder.
 
-class JsonlOffsets(DataSource):
-    """`spark.read.format("jsonl_offsets").load(folder, glob or file)`: non-blank lines, one partition a file.
-
-    Lines end at line feeds; line numbers count from 1 and blank lines too; offsets are bytes. Files are read line
-    by line, so memory does not grow with them; a folder without such files gives no rows.
+    Lines end at line feeds; line numbers count from 1, blank lines too; offsets are bytes. Large files are read in
+    splits by many tasks: a line's offset is that of its split's first line, which follows from the sizes of the splits
+    before it, plus what stands before it in the split. A place without files gives no rows.
+    """
+    kind = _files_at(spark, path)
+    if kind is None:
+        return spark.createDataFrame([], OFFSETS_SCHEMA)
+    reader = spark.read.option("lineSep", "\n")
+    if kind == "folder":
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    lines = reader.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), (F.octet_length("value") + 1).cast("long").alias("_size"), F.col("value").alias("raw")
+    )
+    splits = lines.groupBy("_file", "_split").agg(F.count("*").alias("_lines"), F.sum("_size").alias("_bytes"))
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_file", "_split", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_line"), F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte"))
+    inside = Window.partitionBy("_file", "_split").orderBy("_at")
+    placed = lines.withColumn("_no", F.row_number().over(inside)).withColumn("_through", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    local = F.url_decode(F.replace(F.regexp_replace("_file", "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
+    out = placed.join(starts, ["_file", "_split"]).select(
+        local.alias("source_path"), (F.col("_line") + F.col("_no")).cast("long").alias("line_no"), (F.col("_byte") + F.col("_through") - F.col("_size")).alias("byte_offset"), strip(F.col("raw")).alias("raw")
+    )
+    return out.filter(F.col("raw") != "")
+
+
+def read_at(requests: DataFrame, path: str = "source_path", offset: str = "byte_offset") -> DataFrame:
+    """(path, offset, raw): the line that begins at each offset, read by a seek in its file; null past the end.
+
+    Files are opened through Arrow's file systems, once per batch of requests; the text of a line is not stripped.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "jsonl_offsets"
-
-    def schema(self) -> str:
-        return OFFSETS_SCHEMA
-
-    def reader(self, schema) -> _OffsetsReader:
-        return _OffsetsReader(self.options["path"])
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(JsonlOffsets)
-
-
-def read_offsets(spark: SparkSession, path: str) -> DataFrame:
-    register(spark)
-    return spark.read.format("jsonl_offsets").load(path)
+    def seek(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            frame = frame.assign(raw=None)
+            for name, rows in frame.groupby(path):
+                system, inner = fs.FileSystem.from_uri(name if ":" in name.split("/")[0] else f"file://{quote(os.path.abspath(name))}")
+                with system.open_input_file(inner) as lines:
+                    for i, at in rows[offset].sort_values().items():
+                        lines.seek(int(at))
+                        parts = []
+                        while chunk := lines.read(CHUNK):
+                            parts.append(chunk.partition(b"\n")[0])
+                            if len(parts[-1]) < len(chunk):
+                                break
+                        frame.at[i, "raw"] = b"".join(parts).decode("utf-8", "replace") if parts else None
+            yield frame
+
+    wanted = requests.select(path, F.col(offset).cast("long").alias(offset)).filter(F.col(path).isNotNull() & (F.col(offset) >= 0))
+    return wanted.mapInPandas(seek, f"`{path}` string, `{offset}` long, raw string")
 
 
 def json_object(raw: Column, fields: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import struct
 import wave
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import fields, text
 from tapeloom.operators import collate, masks, metrics, sampling, skew
+from tapeloom.plans import parameters
 from tapeloom.sources import config, files, jsonl
 
 
@@ -201,3 +203,49 @@ def test_number_types_that_are_unknown(spark):
 
 def test_blank_keys_take_the_files(spark):
     assert column(spark, fields.dataset_key, [" A_en\u3000", "\u00a0", "", None], "string") == ["a_en", None, None, None]
+
+
+def test_jsonl_in_splits(spark, tmp_path):
+    rng = random.Random(2)
+    for name in ("a.jsonl", "in/b c+d.jsonl", "in/skip.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"\n".join(("é" * rng.randint(0, 90) + "\r" * (i % 7 == 0)).encode() for i in range(400)) + b"\n" * (name != "a.jsonl"))
+    expected = {}
+    for name in ("a.jsonl", "in/b c+d.jsonl"):
+        at = 0
+        for number, line in enumerate((tmp_path / name).read_bytes().split(b"\n"), 1):
+            if text := line.decode().strip():
+                expected[str(tmp_path / name), number] = (at, text)
+            at += len(line) + 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = jsonl.read_offsets(spark, str(tmp_path))
+        got = {(r["source_path"], r["line_no"]): (r["byte_offset"], r["raw"]) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == expected
+    wanted = [(p, at) for (p, _), (at, _) in expected.items()] + [(str(tmp_path / "a.jsonl"), 10**9), (None, 3)]
+    lines = {(r["source_path"], r["byte_offset"]): r["raw"] for r in jsonl.read_at(spark.createDataFrame(wanted, "source_path string, byte_offset long")).collect()}
+    assert lines.pop((str(tmp_path / "a.jsonl"), 10**9)) is None
+    assert {k: v.strip() for k, v in lines.items()} == {(p, at): text for (p, _), (at, text) in expected.items()}
+    assert jsonl.read_offsets(spark, str(tmp_path / "no*")).count() == 0
+
+
+def test_trainability_errors():
+    for config in ({"text_decoder_layer_indices": []}, {"text_decoder_layer_indices": [1, 1]}, {"text_decoder_layer_indices": [0]}, {"text_decoder_top_layers": 29}, {"text_decoder_top_layers": -1}):
+        with pytest.raises(ValueError):
+            parameters.trained_layers(config, 28)
+
+
+def test_tied_embeddings(spark):
+    names = ["thinker.model.embed_tokens.weight", "thinker.lm_head.weight"]
+    head = {"lm_head": True}
+    assert column(spark, lambda n: parameters.is_trained(n, head, 2, tied=True), names) == [True, True]
+    assert column(spark, lambda n: parameters.is_trained(n, head, 2), names) == [False, True]
+
+
+def test_features_of_any_size(spark):
+    rows = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]], "x"), (1, [[5.0], [6.0]], "y"), (1, None, "z"), (1, [], "e"), (2, None, "n")], "batch int, f array<array<double>>, width string")
+    got = {r["width"]: (r["input_features"], r["feature_length"], r["feature_attention_mask"]) for r in collate.collated_features(rows, "batch", "f").collect()}
+    assert got == {"x": ([[1, 2], [3, 4]], 2, [1, 1]), "y": ([[5, 0], [6, 0]], 1, [1, 0]), "z": (None, 0, [0, 0]), "e": ([], 0, [0, 0]), "n": (None, 0, [])}
