@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.functions import fields
-from tapeloom.llm import abuse, copies, languages, leaks, lookalikes, mixing, packing
+from tapeloom.llm import abuse, copies, languages, leaks, lookalikes, mixing, models, packing
 from tapeloom.plans.records import KEY_SQL, stripped_sql
 from tapeloom.sources.tables import table
 
 
 def _stretches(spark, folder):
     documents = table(spark, folder, "documents", "doc_id", "text", "lang")
-    return documents, languages.stretches(documents, "doc_id", "text", languages.fit_on(documents, "text", "lang", "doc_id"))
+    model = models.shared(spark, "languages", [documents], lambda: languages.fit_on(documents, "text", "lang", "doc_id"))
+    return documents, languages.stretches(documents, "doc_id", "text", model)
 
 
 def p1_found(spark, folder):
@@ -102,7 +103,9 @@ def p6_found(spark, folder):
 
 def p7_scores(spark, folder):
     documents = table(spark, folder, "documents", "doc_id", "source", "text")
-    return abuse.scored(documents, "doc_id", "text", abuse.fit_on(documents, table(spark, folder, "doc_labels")), keep=("source",))
+    labels = table(spark, folder, "doc_labels")
+    model = models.shared(spark, "abuse", [documents, labels], lambda: abuse.fit_on(documents, labels))
+    return abuse.scored(documents, "doc_id", "text", model, keep=("source",))
 
 
 def p7_found(spark, folder):
