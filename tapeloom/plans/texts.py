@@ -217,7 +217,11 @@ ROOT, STEM_SUFFIXES = "audio", (".wav", ".mp3", ".flac", ".m4a", ".ogg", ".aac")
 _ASKED_SQL = "nullif(trim(m.filename), '')"
 _LAST_SQL = f"regexp_extract({_ASKED_SQL}, '[^/]*$')"
 _STEM_SQL = f"regexp_replace({_LAST_SQL}, '(.)\\.[^.]*$', '\\1')"
-PATHS_SQL = f"""WITH base AS ({REFS_SQL}), listing AS (SELECT DISTINCT audio_path AS path, regexp_extract(audio_path, '[^/]*$') AS name FROM manifest WHERE row_id % 3 <> 0 AND audio_path IS NOT NULL AND starts_with(audio_path, '{ROOT}/')),
+
+
+def _paths_sql(refs: str) -> str:
+    """The SQL of a result of (row_id, resolved, priority), with look-ups by file name where nothing is resolved."""
+    return f"""WITH base AS ({refs}), listing AS (SELECT DISTINCT audio_path AS path, regexp_extract(audio_path, '[^/]*$') AS name FROM manifest WHERE row_id % 3 <> 0 AND audio_path IS NOT NULL AND starts_with(audio_path, '{ROOT}/')),
   named AS (SELECT name, min(path) AS path FROM listing GROUP BY name),
   suffixes AS (SELECT unnest({list(STEM_SUFFIXES)}) AS suffix, unnest(range({len(STEM_SUFFIXES)})) AS place),
   asked AS (SELECT m.row_id, {_ASKED_SQL} AS asked, {_LAST_SQL} AS last, {_STEM_SQL} AS stem FROM manifest m JOIN base b ON b.row_id = m.row_id WHERE nullif(trim(b.resolved), '') IS NULL AND {_ASKED_SQL} IS NOT NULL),
@@ -244,13 +248,18 @@ def found_by_filename(asked, listing, root):
     return direct.unionByName(by_stem).unionByName(anywhere).groupBy("asked").agg(best).select("asked", "b.path", "b.priority")
 
 
-@query(PATHS_SQL)
+@query(_paths_sql(REFS_SQL))
 def path_priority_by_name(spark, folder):
     """`path_priority`, then by file name for the rows that it leaves open."""
     rows = table(spark, folder, "manifest", "row_id", "audio_path", F.nullif(F.trim("filename"), F.lit("")).alias("asked"))
-    base = path_priority(spark, folder).withColumn("resolved", F.when(F.trim("resolved") != "", F.col("resolved")))
-    open_rows = base.join(rows.select("row_id", "asked"), "row_id").withColumn("asked", F.when(F.col("resolved").isNull(), F.col("asked")))
     listing = rows.filter("row_id % 3 != 0 and audio_path is not null").select(F.col("audio_path").alias("path")).distinct()
+    return _named_last(path_priority(spark, folder), rows, listing)
+
+
+def _named_last(base, rows, listing):
+    """(row_id, resolved, priority) of `base`; rows without a path are looked up by the file name in `asked`."""
+    base = base.withColumn("resolved", F.when(F.trim("resolved") != "", F.col("resolved")))
+    open_rows = base.join(rows.select("row_id", "asked"), "row_id").withColumn("asked", F.when(F.col("resolved").isNull(), F.col("asked")))
     found = found_by_filename(rows.filter("asked is not null").select("asked").distinct(), listing, ROOT).withColumnRenamed("priority", "by_name")
     # rows that ask nothing get a key of their own, so that they don't meet in one task
     keyed = open_rows.withColumn("_k", F.coalesce("asked", F.concat(F.lit("\0"), F.col("row_id").cast("string"))))
@@ -258,6 +267,41 @@ def path_priority_by_name(spark, folder):
     return joined.select("row_id", F.coalesce("resolved", "path").alias("resolved"), F.when(F.col("resolved").isNotNull(), F.col("priority")).otherwise(F.col("by_name")).alias("priority"))
 
 
+def resolved_references(rows, listing):
+    """(row_id, resolved, priority): the first of a record's references that leads to a file.
+
+    The path fields that `rows` has are tried in their order (1 to 5) against the listing, then an object reference gives
+    its place in the cache (6), then a local reference is tried against the listing (7). Blank values count as missing;
+    a row with none comes out with nulls.
+    """
+    ref = fields.nonblank(F.col("audio_ref"))
+    stored = ref.startswith("oss://")
+    paths = [(i, fields.nonblank(F.col(c))) for i, c in enumerate(fields.AUDIO_FIELDS, 1) if c in rows.columns] + [(7, F.when(~stored, ref))]
+    tries = F.array(*(F.struct(F.lit(i).alias("priority"), path.alias("path")) for i, path in paths))
+    there = rows.select("row_id", F.inline(tries)).filter("path is not null").join(listing, "path", "left_semi")
+    best = there.groupBy("row_id").agg(F.min(F.struct("priority", "path")).alias("_there"))
+    joined = rows.join(best, "row_id", "left")
+    cached = F.struct(F.lit(6).alias("priority"), F.concat(F.lit("/cache/"), F.substring(ref, F.lit(7), F.length(ref))).alias("path"))
+    use = F.when(F.col("_there.priority") < 6, F.col("_there")).when(stored, cached).otherwise(F.col("_there"))
+    return joined.select("row_id", use["path"].alias("resolved"), use["priority"].alias("priority"))
+
+
+_LISTED_SQL = "SELECT DISTINCT audio_path AS path FROM manifest WHERE row_id % 3 <> 0 AND audio_path IS NOT NULL UNION SELECT audio_ref FROM manifest WHERE row_id % 5 <> 0 AND audio_ref IS NOT NULL AND NOT starts_with(audio_ref, 'oss://')"
+_RESOLVED_SQL = f"""WITH listed AS ({_LISTED_SQL}), c AS (SELECT row_id, 1 AS priority, nullif({stripped_sql('audio_path')}, '') AS path FROM manifest
+    UNION ALL SELECT row_id, CASE WHEN starts_with(ref, 'oss://') THEN 6 ELSE 7 END, CASE WHEN starts_with(ref, 'oss://') THEN '/cache/' || substr(ref, 7) ELSE ref END FROM (SELECT row_id, nullif({stripped_sql('audio_ref')}, '') AS ref FROM manifest)),
+    g AS (SELECT * FROM c WHERE path IS NOT NULL AND (priority = 6 OR path IN (SELECT path FROM listed)))
+  SELECT m.row_id, arg_min(g.path, g.priority) AS resolved, min(g.priority) AS priority FROM manifest m LEFT JOIN g ON g.row_id = m.row_id GROUP BY m.row_id"""
+
+
+@query(_paths_sql(_RESOLVED_SQL))
+def audio_resolution(spark, folder):
+    """The whole rule: path fields and local references only where they are listed, object references, file names."""
+    rows = table(spark, folder, "manifest", "row_id", "audio_path", "audio_ref", F.nullif(F.trim("filename"), F.lit("")).alias("asked"))
+    paths = rows.filter("row_id % 3 != 0 and audio_path is not null").select(F.col("audio_path").alias("path"))
+    local = rows.filter("row_id % 5 != 0 and audio_ref is not null and not startswith(audio_ref, 'oss://')").select(F.col("audio_ref").alias("path"))
+    return _named_last(resolved_references(rows, paths.unionByName(local).distinct()), rows, paths.distinct())
+
+
 @query("SELECT audio_ref, min(row_id) AS first_row FROM manifest WHERE starts_with(audio_ref, 'oss://') GROUP BY audio_ref")
 def staged_dedupe(spark, folder):
     refs = table(spark, folder, "manifest", "row_id", "audio_ref").filter(F.col("audio_ref").startswith("oss://"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import text
 from tapeloom.functions.selectors import parse_selector
 from tapeloom.operators import budget
-from tapeloom.plans import batches, catalog, mixing
+from tapeloom.plans import batches, catalog, mixing, texts
 
 
 def test_composer_keeps_every_planned_row(spark, data):
@@ -106,3 +106,15 @@ def test_retry_knows_every_part_type_and_code(spark):
     df = spark.createDataFrame(again + never, "status int, kind string, message string, code string")
     got = [r[0] for r in df.select(text.retryable(F.col("status"), F.col("kind"), F.col("message"), F.col("code"))).collect()]
     assert got == [True] * len(again) + [False] * len(never)
+
+
+def test_references_are_tried_in_order(spark):
+    listing = spark.createDataFrame([(x,) for x in ("a", "b", "w", "p", "/local")], "path string")
+    rows = [
+        (1, " a ", "w", None, None, "p", "oss://b/k"), (2, "gone", "w", None, None, "p", "oss://b/k"), (3, None, " ", "gone", None, "p", "/local"), (4, None, None, None, "b", None, None), (5, "gone", None, None, None, None, "oss://b/k"),
+        (6, None, None, None, None, None, " /local "), (7, None, None, None, None, None, "/missing"), (8, None, None, None, None, None, ""), (9, None, None, None, None, None, None), (10, "", "gone", "", "", "", "oss://"),
+    ]
+    df = spark.createDataFrame(rows, "row_id long, audio_path string, wav_path string, audio_local_path string, local_audio_path string, path string, audio_ref string")
+    got = {r["row_id"]: (r["resolved"], r["priority"]) for r in texts.resolved_references(df, listing).collect()}
+    assert got == {1: ("a", 1), 2: ("w", 2), 3: ("p", 5), 4: ("b", 4), 5: ("/cache/b/k", 6), 6: ("/local", 7), 7: (None, None), 8: (None, None), 9: (None, None), 10: ("/cache/", 6)}
+    assert texts.resolved_references(df.limit(0), listing).count() == 0
