@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions import tokens
 from tapeloom.operators import collate, metrics
 from tapeloom.plans.mixing import CHUNKS_SQL, micro_batches
 from tapeloom.plans.registry import query
@@ -151,6 +152,14 @@ def ragged_pack_whole(spark, folder):
     return packed(padded.withColumn("valid", lengths), "batch", "row_id", "input_ids", "valid")
 
 
+@query("SELECT row_id, CAST(nullif(octet_length(encode(text)), 0) AS BIGINT) AS n_tokens, nullif(text, '') AS decoded FROM manifest")
+def token_roundtrip(spark, folder):
+    """Texts as tokens of the default tokenizer, and back."""
+    default = tokens.ByteTokenizer()
+    rows = table(spark, folder, "manifest", "row_id", "text").withColumn("ids", tokens.encoded(F.col("text"), default))
+    return rows.select("row_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), tokens.decoded(F.col("ids"), default).alias("decoded"))
+
+
 @query("SELECT row_id, CAST(len(list_filter(token_ids, lambda x: x % 3 <> 0)) AS BIGINT) AS valid_length, list_transform(range(len(token_ids)), lambda i: CAST(1 AS BIGINT)) AS all_ones FROM manifest WHERE token_ids IS NOT NULL")
 def mask_lengths(spark, folder):
     mask = F.transform("token_ids", lambda x: (x % 3 != 0).cast("long"))

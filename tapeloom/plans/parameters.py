@@ -28,8 +28,12 @@ def layer_index(name):
 _KEPT = (1, 2, 3, 5, 7, 9, 11, 13, 15, 17, 18)
 
 
-def picked_layers(layers: list[int], depth: int) -> list[int]:
-    """0-based encoder layers from a 1-based list: in range, without repeats, order kept."""
+def picked_layers(layers: list[int] | None, depth: int, first: int | None = None) -> list[int]:
+    """0-based encoder layers from a 1-based list: in range, without repeats, order kept; without a list the first ones."""
+    if layers is None:
+        if first is None or not 1 <= first <= depth:
+            raise ValueError(f"from 1 to {depth} layers can be kept, not {first}")
+        return list(range(first))
     if len(set(layers)) != len(layers) or any(not 1 <= x <= depth for x in layers):
         raise ValueError(f"layers must be distinct and from 1 to {depth}")
     return [x - 1 for x in layers]

@@ -11,7 +11,7 @@ import wave
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.functions import fields, text
+from tapeloom.functions import fields, text, tokens
 from tapeloom.operators import collate, masks, metrics, sampling, skew
 from tapeloom.plans import parameters
 from tapeloom.sources import config, files, jsonl
@@ -249,3 +249,29 @@ def test_features_of_any_size(spark):
     rows = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]], "x"), (1, [[5.0], [6.0]], "y"), (1, None, "z"), (1, [], "e"), (2, None, "n")], "batch int, f array<array<double>>, width string")
     got = {r["width"]: (r["input_features"], r["feature_length"], r["feature_attention_mask"]) for r in collate.collated_features(rows, "batch", "f").collect()}
     assert got == {"x": ([[1, 2], [3, 4]], 2, [1, 1]), "y": ([[5, 0], [6, 0]], 1, [1, 0]), "z": (None, 0, [0, 0]), "e": ([], 0, [0, 0]), "n": (None, 0, [])}
+
+
+def test_layers_by_list_or_number():
+    assert parameters.picked_layers([3, 1], 4) == [2, 0] and parameters.picked_layers(None, 4, 3) == [0, 1, 2]
+    for layers, first in (([5], None), ([1, 1], None), (None, 0), (None, 5), (None, None)):
+        with pytest.raises(ValueError):
+            parameters.picked_layers(layers, 4, first)
+
+
+def test_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "tokenizer.json"))
+    words = tokens.FileTokenizer(str(tmp_path))
+    values = ["b a  c", "", None, "ａ"]
+    df = spark.createDataFrame([(v, "en", "w") for v in values], "v string, code string, ids string")
+    got = df.select(tokens.encoded(F.col("v"), words), tokens.encoded(F.col("v"), words, F.col("code")), tokens.encoded(F.col("v"), tokens.ByteTokenizer())).collect()
+    assert [tuple(r) for r in got] == [([1, 0, 2], [1, 0, 2], list(b"b a  c")), (None, None, None), (None, None, None), ([2], [0], list("ａ".encode()))]
+    assert column(spark, lambda v: tokens.decoded(v, words), [[1, 0], [], None, [3], [-1], [None]], "array<long>") == ["b a", "", None, None, None, None]
+    meta = words.vocab_meta()
+    (tmp_path / "special_tokens_map.json").write_text("{}")
+    assert meta["base_vocab_size"] == 3 and meta["tokenizer_fingerprint"] != words.vocab_meta()["tokenizer_fingerprint"]
+    with pytest.raises(ValueError):
+        tokens.FileTokenizer(" ")
