@@ -11,15 +11,23 @@ def padding_ratio(real: Column, padded: Column) -> Column:
     return F.coalesce(1.0 - F.try_divide(real.cast("double"), padded.cast("double")), F.lit(0.0))
 
 
+def _by_dataset(rows: DataFrame, batch: list[str]) -> DataFrame:
+    """Sizes of each dataset's part of each micro-batch; negative and null lengths and durations count as 0."""
+    length, seconds = F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)), F.greatest(F.coalesce("seconds", F.lit(0.0)), F.lit(0.0))
+    return rows.groupBy(*batch, "dataset_key").agg(
+        F.count("*").alias("n"), F.sum(length).alias("real"), F.max(length).alias("longest"), F.max(seconds).alias("max_seconds"), F.sum(F.coalesce(F.col("is_replacement").cast("long"), F.lit(0))).alias("replaced")
+    )
+
+
 def micro_batch_metrics(rows: DataFrame, batch: list[str]) -> DataFrame:
     """Per micro-batch of (dataset_key, length, seconds, is_replacement) rows: dataset mix, padding, cost, replacements.
 
     Negative and null lengths and durations count as 0. Aggregated by dataset first, so the wide step is partial.
     """
-    length, seconds = F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)), F.greatest(F.coalesce("seconds", F.lit(0.0)), F.lit(0.0))
-    by_dataset = rows.groupBy(*batch, "dataset_key").agg(
-        F.count("*").alias("n"), F.sum(length).alias("real"), F.max(length).alias("longest"), F.max(seconds).alias("max_seconds"), F.sum(F.coalesce(F.col("is_replacement").cast("long"), F.lit(0))).alias("replaced")
-    )
+    return _totals(_by_dataset(rows, batch), batch)
+
+
+def _totals(by_dataset: DataFrame, batch: list[str]) -> DataFrame:
     total = by_dataset.groupBy(*batch).agg(
         F.count("*").alias("datasets"), F.max("n").alias("_most"), F.sum("n").alias("samples"), F.sum("real").alias("real_frames"), F.max("longest").alias("_longest"), F.max("max_seconds").alias("max_seconds"), F.sum("replaced").alias("replacements")
     )
@@ -34,11 +42,13 @@ def step_metrics(rows: DataFrame, batch: list[str], step: list[str]) -> DataFram
 
     The micro_ columns are sums of the micro-batches' own figures.
     """
-    sizes = micro_batch_metrics(rows, [*step, *(c for c in batch if c not in step)])
+    own = [*step, *(c for c in batch if c not in step)]
+    by_dataset = _by_dataset(rows, own)  # both branches below begin with it, so its shuffle is used twice
+    sizes = _totals(by_dataset, own)
     summed = sizes.groupBy(*step).agg(
         F.count("*").alias("micro_batches"), F.sum("datasets").alias("micro_datasets"), F.sum("dominant_ratio").alias("micro_dominant"), F.sum("padding_ratio").alias("micro_padding"), F.sum("max_seconds").alias("micro_seconds"), F.sum("samples").alias("samples"), F.sum("real_frames").alias("real_frames"), F.sum("padded_frames").alias("padded_frames"), F.sum("cost").alias("cost"), F.max("max_seconds").alias("max_seconds"), F.sum("replacements").alias("replacements")
     )
-    mix = rows.groupBy(*step, "dataset_key").agg(F.count("*").alias("n")).groupBy(*step).agg(F.count("*").alias("datasets"), F.max("n").alias("_most"))
+    mix = by_dataset.groupBy(*step, "dataset_key").agg(F.sum("n").alias("n")).groupBy(*step).agg(F.count("*").alias("datasets"), F.max("n").alias("_most"))
     joined = summed.join(mix, step)
     return joined.withColumn("dominant_ratio", F.col("_most") / F.col("samples")).withColumn("padding_ratio", padding_ratio(F.col("real_frames"), F.col("padded_frames"))).drop("_most")
 

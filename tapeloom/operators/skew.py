@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.session import cut_lineage
+
 #: Keys with more rows than this go through a broadcast side; at most (rows / HOT_ROWS) keys can be hot.
 HOT_ROWS = 100_000
 #: Rows that one sort group of `ranked_within` should hold.
@@ -38,13 +40,14 @@ def attach_group_values(rows: DataFrame, groups: DataFrame, key: str, rows_in_gr
     return joined.filter(found.isNotNull()).select(*rows.columns, *(found[c].alias(c) for c in values))
 
 
-def ranked_within(rows: DataFrame, keys: list[str], order: Column, tie: str, name: str = "rank", group_rows: int = RANK_ROWS, most: int | None = None) -> DataFrame:
+def ranked_within(rows: DataFrame, keys: list[str], order: Column, tie: str, name: str = "rank", group_rows: int = RANK_ROWS, most: int | None = None, costly: bool = False) -> DataFrame:
     """`rows` with a 0-based rank within `keys` by (`order`, `tie`), where `order` is a uniform 64-bit hash.
 
     A key's rows are cut by the leading bits of the hash into slices of about `group_rows`, the slices
     are counted, and a row's rank is its slice's offset plus its rank inside the slice; so no task sorts
     a whole hot key. `tie` must be unique within a key. An empty table gives an empty result. `most` is the largest
-    number of rows of a key where the caller knows it (an upper bound will do); else the keys are counted first.
+    number of rows of a key where the caller knows it (an upper bound will do); else the keys are counted first. Where
+    slices are counted, `rows` is read twice; with `costly` it is written to the shared folder and read from there.
     """
     if most is None:
         most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -53,6 +56,7 @@ def ranked_within(rows: DataFrame, keys: list[str], order: Column, tie: str, nam
     if not bits:
         return hashed.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("_h", tie)) - 1).drop("_h")
     hashed = hashed.withColumn("_slice", F.shiftright("_h", 64 - bits))
+    hashed = cut_lineage(hashed) if costly else hashed
     slices = hashed.groupBy(*keys, "_slice").count()
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(*keys, "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))

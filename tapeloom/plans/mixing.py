@@ -68,7 +68,7 @@ def _stream(spark, folder, whole_steps=False):
     ranked, local = _ranked(spark, folder, whole_steps)
     rows = ranked.withColumn("_tie", F.concat("dataset_key", F.lit("#"), F.col("position").cast("string")))
     order = sampling.signed(sampling.order_key(SEED, F.col("rank"), F.col("dataset_key"), F.col("position")))
-    placed = ranked_within(rows, ["rank"], order, "_tie", "place", most=sum(t // WORLD for _, _, t in local)).drop("_tie")
+    placed = ranked_within(rows, ["rank"], order, "_tie", "place", most=sum(t // WORLD for _, _, t in local), costly=True).drop("_tie")
     return placed.withColumn("group_no", F.expr(f"cast(place as bigint) div {BATCH * BUCKETS}")).withColumn("length_bin", fields.length_bin(F.col("length"), EDGES))
 
 
