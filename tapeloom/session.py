@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC timestamps; `conf` adds or overrides settings."""
+    """A session with adaptive execution and UTC timestamps, whose checkpoints go when no plan needs them; `conf` overrides."""
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     return SparkSession.builder.master(master).config(map=settings).getOrCreate()
 
@@ -29,6 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tapeloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(named)
     return named
